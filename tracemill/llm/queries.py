@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, quality
+from . import decontam, jaccard, linededup, quality
 
 _TOKENS = r"[x FOR x IN string_split_regex(coalesce({}, ''), '[\x09-\x0d\x1c-\x20]+') IF x <> '']"
 
@@ -45,12 +46,74 @@ m AS (SELECT DISTINCT rid FROM (SELECT rid, hash(w[p:p + {n - 1}]) AS h FROM d,
 SELECT doc_id, text, lang, source, n_chars FROM d WHERE rid NOT IN (SELECT rid FROM m)"""
 
 
+#: Tokens in lower case without ASCII punctuation.
+_FOLDED = _TOKENS.format(r"lower(regexp_replace({}, '[\x00!-/:-@\[-`{{-~]', '', 'g'))")
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near copies, equal sets as lists."""
+    return jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+def _jaccard_sets(table: str) -> str:
+    n = jaccard.NGRAM
+    return f"""
+d AS (SELECT doc_id, {_FOLDED.format("text")} AS w FROM {table}),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {n} THEN [array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})] ELSE [array_to_string(w, ' ')] END)) AS g FROM d WHERE len(w) > 0),
+u AS (SELECT min(doc_id) AS k, g, len(g) AS size, list_sort(list(DISTINCT doc_id)) AS ids FROM s GROUP BY g),
+x AS (SELECT k, size, unnest(g) AS x FROM u),
+o AS (SELECT a.k AS ka, b.k AS kb, count(*) AS overlap, any_value(a.size) AS size_a, any_value(b.size) AS size_b FROM x a JOIN x b ON a.x = b.x AND a.k < b.k GROUP BY 1, 2),
+p AS (SELECT * FROM o WHERE overlap >= {jaccard.THRESHOLD} * (size_a + size_b - overlap) - 1e-9)"""
+
+
+def jaccard_sql(table: str = "documents") -> str:
+    return f"""
+WITH {_jaccard_sets(table)}
+SELECT a.ids AS ids_a, b.ids AS ids_b, overlap, size_a, size_b, overlap / (size_a + size_b - overlap) AS jaccard FROM p JOIN u a ON a.k = ka JOIN u b ON b.k = kb
+UNION ALL SELECT ids, ids, size, size, size, 1.0 FROM u WHERE len(ids) > 1"""
+
+
+def near_copies_sql(table: str = "documents") -> str:
+    return f"""
+WITH RECURSIVE {_jaccard_sets(table)},
+e AS (SELECT ka AS a, kb AS b FROM p UNION SELECT kb, ka FROM p UNION SELECT k, i FROM (SELECT k, unnest(ids) AS i FROM u) WHERE i <> k UNION SELECT i, k FROM (SELECT k, unnest(ids) AS i FROM u) WHERE i <> k),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+z AS (SELECT a FROM r GROUP BY a HAVING min(b) < a)
+SELECT doc_id, text, lang, source, n_chars FROM {table} WHERE doc_id NOT IN (SELECT a FROM z)"""
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that are near copies of earlier ones."""
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def linededup_sql(table: str = "documents") -> str:
+    t, m = linededup.THRESHOLD, linededup.MIN_TOKENS
+    return f"""
+WITH l AS (SELECT doc_id, i AS n, line, list_sort(list_distinct({_FOLDED.format("line")})) AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {table})),
+u AS (SELECT g, len(g) AS s, min((doc_id, n)) AS f, row_number() OVER () AS k FROM l WHERE len(g) >= {m} GROUP BY g),
+x AS (SELECT k, s, unnest(g) AS x FROM u),
+c AS (SELECT x, count(*) AS c FROM x GROUP BY x),
+q AS (SELECT k, s, x, row_number() OVER (PARTITION BY k ORDER BY c, x) AS i FROM x JOIN c USING (x)),
+pre AS (SELECT k, s, x FROM q WHERE i <= s - ceil({t} * s - 1e-9) + 1),
+p AS (SELECT DISTINCT a.k AS ka, b.k AS kb FROM pre a JOIN pre b ON a.x = b.x AND a.k <> b.k AND b.s BETWEEN {t} * a.s - 1e-9 AND a.s / {t} + 1e-9),
+v AS (SELECT b.g FROM p JOIN u a ON a.k = ka JOIN u b ON b.k = kb WHERE a.f < b.f AND len(list_intersect(a.g, b.g)) >= {t} * (a.s + b.s - len(list_intersect(a.g, b.g))) - 1e-9),
+z AS (SELECT doc_id, n, line, coalesce(u.f < (doc_id, n), false) OR l.g IN (SELECT g FROM v) AS gone FROM l LEFT JOIN u USING (g)),
+y AS (SELECT doc_id, bool_or(gone) AS cut, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS rest FROM z GROUP BY doc_id)
+SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, lang, source, length(CASE WHEN cut THEN rest ELSE text END) AS n_chars
+FROM {table} LEFT JOIN y USING (doc_id) WHERE NOT coalesce(cut, false) OR regexp_matches(rest, '[^\s]')"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_line_dedup": op4_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
+    "op2_ngram_jaccard_join": jaccard_sql(),
+    "op4_line_dedup": linededup_sql(),
     "op6_benchmark_decontamination": decontam_sql(),
 }
