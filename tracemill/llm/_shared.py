@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,9 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """df as a table written in the shared folder: its lineage ends there, and the loss of an executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
+    # the shuffles behind the table are of no more use; Spark deletes their files once the driver's garbage is collected
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import small, written
+from ._shared import BROADCAST_ROWS, written
 
 THRESHOLD = 0.85
 MIN_TOKENS = 5
@@ -28,6 +28,7 @@ BUCKET_BITS = 21
 WINDOW = 8
 _PAIRS = 1 << 20
 _EPS = 1e-9
+_LINE = "doc{0} bigint, th{0} int, line{0} int"
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def _records(docs: DataFrame, level, bits: int, threshold: float, min_tokens: in
             names = ["doc", "th", "line", "k1", "k2", "size", "prefix", "gone"]
             yield pa.RecordBatch.from_arrays([doc.take(pa.array(text)), pa.array(th[text]), pa.array(line.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, ids), pa.array(gone)], names=names)
 
-    return docs.mapInArrow(run, "doc bigint, th bigint, line int, k1 bigint, k2 bigint, size int, prefix array<int>, gone boolean")
+    return docs.mapInArrow(run, f"{_LINE.format('')}, k1 bigint, k2 bigint, size int, prefix array<int>, gone boolean")
 
 
 def _tiles(posted: DataFrame, threshold: float) -> DataFrame:
@@ -181,8 +182,7 @@ def _tiles(posted: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    line = "doc{0} bigint, th{0} bigint, line{0} int"
-    return posted.repartition("token").sortWithinPartitions("token", "size").mapInArrow(run, f"token int, {line.format('')}, {line.format(2)}")
+    return posted.repartition("token").sortWithinPartitions("token", "size").mapInArrow(run, f"token int, {_LINE.format('')}, {_LINE.format(2)}")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -211,37 +211,38 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                     out.append(later)
             if out:
                 d, t, n = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(n, pa.int32())], names=["doc", "th", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(n, pa.int32())], names=["doc", "th", "line"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "kind", "doc2", "th2", "line2", "doc", "th", "line").mapInArrow(run, "doc bigint, th bigint, line int")
+    return rows.repartition("token").sortWithinPartitions("token", "kind", "doc2", "th2", "line2", "doc", "th", "line").mapInArrow(run, _LINE.format(""))
 
 
-def _line_sets(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc, th, line, arr): the sorted hashes of each line of at least min_tokens distinct tokens."""
+def _line_sets(docs: DataFrame) -> DataFrame:
+    """(doc, th, line, arr): the sorted hashes of those lines of (doc, text, th, lines) that are in lines."""
     none = np.zeros(2, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            th = b.column(2).to_numpy()
+            th, wanted = b.column(2).to_numpy(), b.column(3)
             for lo, first, t in _line_tokens(b.column(1)):
                 h, _, cut = _distinct(t, none, 1)
-                lines = np.flatnonzero(np.diff(cut) >= min_tokens)
-                text = np.searchsorted(first, lines, "right") - 1
-                arr = [h[cut[x] : cut[x + 1]].tobytes() for x in lines]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(th[text + lo]), pa.array((lines - first[text]).astype(np.int32)), pa.array(arr, pa.binary())], names=["doc", "th", "line", "arr"])
+                part = wanted.slice(lo, len(first) - 1)
+                text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
+                line = part.flatten().to_numpy()
+                arr = [h[cut[x] : cut[x + 1]].tobytes() for x in first[text] + line]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(th[text + lo]), pa.array(line), pa.array(arr, pa.binary())], names=["doc", "th", "line", "arr"])
 
-    return docs.mapInArrow(run, "doc bigint, th bigint, line int, arr binary")
+    return docs.mapInArrow(run, f"{_LINE.format('')}, arr binary")
 
 
 def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """(doc, th, line) of each line, counted from 0, that has an earlier line of at least the threshold's Jaccard similarity.
 
-    Lines are in the order of id (nulls first), text hash `th` (xxhash64), place.
+    Lines are in the order of id (nulls first), text hash `th` (of 32 bits), place.
     Lines of fewer than min_tokens distinct tokens take no part.  Rows of one id
     and text are one document.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("th", F.xxhash64("text"))
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("th", F.hash("text"))
     level = spark.sparkContext.broadcast(rarity_levels(docs, bucket_bits))
     records = _records(docs, level, bucket_bits, threshold, min_tokens)
     at = F.row_number().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
@@ -249,14 +250,16 @@ def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     window = F.unhex(F.rpad(F.array_join(F.transform(F.slice("prefix", 1, WINDOW), lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""), 8 * WINDOW, "0"))
     posted = ranked.where("prefix is not null").select("doc", "th", "line", "size", window.alias("window"), F.posexplode("prefix").alias("pos", "token"))
     pairs = written(_tiles(posted.select("token", "size", "pos", "doc", "th", "line", "window"), threshold), "pairs")
-    needed = pairs.select("token", "doc", "th", "line").union(pairs.select("token", "doc2", "th2", "line2")).distinct()
-    ids = needed.select(F.coalesce("doc", F.lit(-(1 << 63))).alias("_id")).distinct()
-    sets = _line_sets(docs.join(small(ids), F.coalesce("doc", F.lit(-(1 << 63))) == ids["_id"], "left_semi"), min_tokens).dropDuplicates(["doc", "th", "line"])
+    needed = written(pairs.select("token", "doc", "th", "line").union(pairs.select("token", "doc2", "th2", "line2")).distinct(), "needed")
+    by_text = needed.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("lines"))
+    some = needed.select("doc", "th", "line").distinct().count() <= BROADCAST_ROWS
+    by_text = F.broadcast(by_text) if some else by_text
+    sets = _line_sets(docs.join(by_text, docs["doc"].eqNullSafe(by_text["_doc"]) & (docs["th"] == by_text["_th"])).select("doc", "text", "th", "lines"))
     none = F.lit(None)
     line = (needed["doc"].eqNullSafe(sets["doc"])) & (needed["th"] == sets["th"]) & (needed["line"] == sets["line"])
-    met = needed.join(sets, line).select(needed["token"], F.lit(0).alias("kind"), needed["doc"], needed["th"], needed["line"], none.cast("bigint").alias("doc2"), none.cast("bigint").alias("th2"), none.cast("int").alias("line2"), "arr")
+    met = needed.join(sets, line).select(needed["token"], F.lit(0).alias("kind"), needed["doc"], needed["th"], needed["line"], none.cast("bigint").alias("doc2"), none.cast("int").alias("th2"), none.cast("int").alias("line2"), "arr")
     met = met.union(pairs.select("token", F.lit(1), "doc", "th", "line", "doc2", "th2", "line2", none.cast("binary")))
-    return ranked.where("prefix is null").select("doc", "th", "line").union(_verify(met, threshold)).distinct()
+    return written(ranked.where("prefix is null").select("doc", "th", "line").union(_verify(met, threshold)).distinct(), "gone")
 
 
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -272,6 +275,6 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     gone = repeated_lines(df, id_col=id_col, text_col=text_col, threshold=threshold, min_tokens=min_tokens).groupBy("doc", "th").agg(F.collect_set("line").alias("_gone")).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_gone")
     text = F.col(text_col).cast("string")
     rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = df.join(gone, df[id_col].cast("bigint").eqNullSafe(gone["_doc"]) & (F.xxhash64(text) == gone["_th"]), "left")
+    joined = df.join(gone, df[id_col].cast("bigint").eqNullSafe(gone["_doc"]) & (F.hash(text) == gone["_th"]), "left")
     out = joined.select(*(df[c] if c != text_col else F.when(F.col("_gone").isNull(), text).otherwise(rest).alias(c) for c in df.columns), F.col("_gone").isNotNull().alias("_cut"))
     return out.where(~F.col("_cut") | F.col(text_col).rlike(r"\S")).drop("_cut")
