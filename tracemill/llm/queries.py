@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, linededup, quality
+from . import decontam, jaccard, linededup, quality, toxicity
 
 _TOKENS = r"[x FOR x IN string_split_regex(coalesce({}, ''), '[\x09-\x0d\x1c-\x20]+') IF x <> '']"
 
@@ -87,6 +87,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score and verdict."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def linededup_sql(table: str = "documents") -> str:
     t, m = linededup.THRESHOLD, linededup.MIN_TOKENS
     return f"""
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES: dict[str, str] = {
