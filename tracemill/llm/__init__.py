@@ -1 +1 @@
-"""Operators for preparing training text. Nothing else in the package imports this one."""
+"""Operators that prepare text for training. Nothing else in the package imports this one."""

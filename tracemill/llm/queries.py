@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, linededup, quality, toxicity
+from . import chat, decontam, jaccard, linededup, piece, quality, tokenbin, toxicity, urlfilter, warc
+
+#: Where the SentencePiece model is.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 _TOKENS = r"[x FOR x IN string_split_regex(coalesce({}, ''), '[\x09-\x0d\x1c-\x20]+') IF x <> '']"
 
@@ -87,6 +90,53 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """Every document's ids, and what they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece.encode(docs, piece.PieceModel.load(model), decoded_col="decoded")
+
+
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's perspective; the masks' places as text."""
+    out = chat.rotate(_table(spark, sf_dir, "conversations"))
+    return out.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("mask_starts", "mask_ends")})
+
+
+def chat_sql() -> str:
+    text = r"regexp_replace(coalesce(text, ''), '<(\|im_(?:start|end)\|>)', '<' || chr(8203) || '\1', 'g')"
+    speaker = r"replace(replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]+', ' ', 'g'), '<|im_start|>', ' |im_start|>'), '<|im_end|>', ' |im_end|>')"
+    return f"""
+WITH t AS (SELECT conv_id, turn, {speaker} AS speaker, {text} AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+m AS (SELECT p.conv_id, perspective, turn, speaker, text, speaker = perspective AS own,
+  '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head, text || '<|im_end|>' AS body
+  FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+l AS (SELECT *, row_number() OVER w AS k, coalesce(sum(length(head) + length(body) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM m WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
+SELECT conv_id, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS rendered,
+  string_agg(CAST(CAST(a AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (own) AS mask_starts, string_agg(CAST(CAST(a + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (own) AS mask_ends,
+  CAST(sum(length(body)) FILTER (own) AS BIGINT) AS n_target_chars
+FROM l GROUP BY conv_id, perspective"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, written as WARC files and read back."""
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+WARC_SQL = "SELECT page_id, url, html, true AS digest_ok FROM pages"
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL, its host's words, score and verdict."""
+    return urlfilter.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_token_binary(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """Every document's ids, written as token shards and read back by their boundaries."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenbin.read_token_shards(tokenbin.write_token_shards(piece.encode(docs, piece.PieceModel.load(model)))).drop("shard")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score and verdict."""
     docs = _table(spark, sf_dir, "documents")
@@ -111,16 +161,27 @@ FROM {table} LEFT JOIN y USING (doc_id) WHERE NOT coalesce(cut, false) OR regexp
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
-    "op4_line_dedup": op4_line_dedup,
-    "op6_benchmark_decontamination": op6_benchmark_decontamination,
-    "op8_toxicity": op8_toxicity,
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_ngram_jaccard_join,
+        op3_sentencepiece,
+        op4_line_dedup,
+        op5_chat_perspectives,
+        op6_benchmark_decontamination,
+        op7_warc,
+        op8_toxicity,
+        op9_url_filter,
+        op10_token_binary,
+    )
 }
 
+#: Ops 3, 8, 9 and 10 can't be told in SQL; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op2_ngram_jaccard_join": jaccard_sql(),
     "op4_line_dedup": linededup_sql(),
+    "op5_chat_perspectives": chat_sql(),
     "op6_benchmark_decontamination": decontam_sql(),
+    "op7_warc": WARC_SQL,
 }
