@@ -29,8 +29,11 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     # the shuffles behind the table are of no more use; Spark deletes their files once the driver's garbage is collected
     gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    spark.range(1).repartition(1).count()  # Spark holds on to the plan that it ran last
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,10 +4,10 @@ A line's set is that of its tokens in lower case without ASCII punctuation.
 Tokens are ordered by rarity: by the counts of a table of hash buckets over the
 whole corpus, then by hash.  The table's size is fixed, and any one order keeps
 the join exact, so buckets that tokens share cost time only.  Equal sets are
-collapsed first.  The rest are posted under their prefixes; under each token,
-lines meet that lengths, positions and the first tokens of both prefixes allow,
-each pair under its first common token.  The token's tile is then met by the
-whole sets of the lines that still have a pair, and Jaccard decides.
+collapsed first.  The rest are posted under their prefixes; in each token's
+tile, pairs are tested by lengths, by positions and by the first tokens of both
+prefixes, each pair under its first common token.  The tile is then met by the
+whole sets of the lines that still have a partner, and Jaccard decides.
 """
 
 from __future__ import annotations
@@ -20,14 +20,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import BROADCAST_ROWS, written
+from ._shared import written
 
 THRESHOLD = 0.85
 MIN_TOKENS = 5
 BUCKET_BITS = 21
-WINDOW = 8
+WINDOW = 16
+#: A list of at most so many line numbers is broadcast (4 bytes each, and some 40 a text); a longer one is joined by shuffling the texts.
+BROADCAST_LINES = 4_000_000
 _PAIRS = 1 << 20
 _EPS = 1e-9
+_NULL = -(1 << 63)
+_HEAD = 5
 _LINE = "doc{0} bigint, th{0} int, line{0} int"
 
 
@@ -120,10 +124,12 @@ def _records(docs: DataFrame, level, bits: int, threshold: float, min_tokens: in
             if not parts:
                 continue
             text, line, k1, k2, size, p, ids = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((line, th[text], doc.fill_null(-(1 << 63)).to_numpy()[text], k2, k1))
-            same = np.append(False, (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1]))
+            keys = k1, k2, doc.fill_null(_NULL).to_numpy()[text], th[text], line
+            order = np.lexsort(keys[::-1])
+            new = np.append(True, (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1]))
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             gone = np.empty(len(order), bool)
-            gone[order] = same
+            gone[order] = np.any([x[order] != x[first] for x in keys], axis=0)  # a repeated row is no copy of itself
             ends = np.append(0, np.cumsum(p)).astype(np.int32)
             names = ["doc", "th", "line", "k1", "k2", "size", "prefix", "gone"]
             yield pa.RecordBatch.from_arrays([doc.take(pa.array(text)), pa.array(th[text]), pa.array(line.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, ids), pa.array(gone)], names=names)
@@ -131,42 +137,100 @@ def _records(docs: DataFrame, level, bits: int, threshold: float, min_tokens: in
     return docs.mapInArrow(run, f"{_LINE.format('')}, k1 bigint, k2 bigint, size int, prefix array<int>, gone boolean")
 
 
+def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary array."""
+    _, off, data = col.buffers()
+    off = np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
+
+
+class _Lines:
+    """Lines of one or more tiles, as the filters see them: sizes, the token's position, and the prefix's first ids."""
+
+    def __init__(self, size: np.ndarray, pos: np.ndarray, windows: np.ndarray, threshold: float) -> None:
+        self.size, self.pos, self.threshold = size.astype(np.int64), pos.astype(np.int64), threshold
+        self.seen = np.minimum(_prefix(self.size, threshold), WINDOW)
+        self.window = np.zeros((len(size), WINDOW), np.int32)
+        self.window[np.arange(WINDOW) < self.seen[:, None]] = windows
+
+    def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs may be similar enough and have the tile's token as their first common one."""
+        size, pos, t = self.size, self.pos, self.threshold
+        need = np.ceil(t / (1 + t) * (size[i] + size[j]) - _EPS)
+        some = np.flatnonzero((np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - _EPS) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need))
+        ok = np.zeros(len(i), bool)
+        for lo in range(0, len(some), _PAIRS // 8):
+            at = some[lo : lo + _PAIRS // 8]
+            x, y = i[at], j[at]
+            common = (self.window[x][:, :, None] == self.window[y][:, None, :]).any(2) & (np.arange(WINDOW) < self.seen[x][:, None])
+            most = common.sum(1) + np.maximum(size[x] - self.seen[x], size[y] - self.seen[y])
+            early = (common & (np.arange(WINDOW) < pos[x][:, None])).any(1)
+            ok[at] = (most >= need[at]) & ~early
+        return ok
+
+
+def _post(ranked: DataFrame) -> DataFrame:
+    """(token, line): each line under each token of its prefix, packed into words of 32 bits.
+
+    These are the document (two), the text hash, the line number, the size with
+    the position in its last byte (255 and more as 255, which weakens filters
+    only), and the prefix's first ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefix = b.column(4)
+            count = prefix.value_lengths().to_numpy().astype(np.int64)
+            ids = prefix.flatten().to_numpy()
+            row = np.repeat(np.arange(len(count)), count)
+            first = np.cumsum(count) - count
+            pos = np.arange(len(row)) - first[row]
+            seen = np.minimum(count, WINDOW)[row]
+            at = np.append(0, np.cumsum(seen + _HEAD))
+            words = np.empty(at[-1], np.int32)
+            doc = b.column(0).fill_null(_NULL).to_numpy()[row]
+            head = (doc >> 32, doc & 0xFFFFFFFF, b.column(1).to_numpy()[row], b.column(2).to_numpy()[row], (b.column(3).to_numpy()[row].astype(np.int64) << 8) | np.minimum(pos, 255))
+            for k, x in enumerate(head):
+                words[at[:-1] + k] = x.astype(np.int64).astype(np.uint32).view(np.int32)
+            inside = np.arange(seen.sum()) - np.repeat(np.cumsum(seen) - seen, seen)
+            words[np.repeat(at[:-1] + _HEAD, seen) + inside] = ids[np.repeat(first[row], seen) + inside]
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(words)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), packed], names=["token", "line"])
+
+    return ranked.select("doc", "th", "line", "size", "prefix").mapInArrow(run, "token int, line binary")
+
+
 def _tiles(posted: DataFrame, threshold: float) -> DataFrame:
-    """(token, earlier line, later line) pairs of one tile that lengths, positions and prefix windows allow."""
+    """(token, line) of the lines that have any partner in the token's tile that lengths, positions and prefixes allow.
+
+    Only lines are told, not pairs: a tile of n copies sends n rows on, not n * n.
+    """
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, size, pos, th, line = (t.column(c).to_numpy() for c in ("token", "size", "pos", "th", "line"))
-        doc = t.column("doc").combine_chunks()
-        order_doc = doc.fill_null(-(1 << 63)).to_numpy()
+    def partners(t: pa.Table) -> pa.RecordBatch:
+        token = t.column("token").to_numpy()
         n = len(token)
-        size, pos = size.astype(np.int64), pos.astype(np.int64)
-        window = np.frombuffer(b"".join(t.column("window").to_pylist()), ">i4").reshape(n, WINDOW).astype(np.int32)
-        seen = np.minimum(_prefix(size, threshold), WINDOW)
+        data, offsets = _binary(t.column("line").combine_chunks())
+        words, at = data.view(np.int32), offsets // 4
+        size = (words[at[:-1] + 4].view(np.uint32) >> 8).astype(np.int64)
+        order = np.lexsort((size, token))
+        token, size, begin, seen = token[order], size[order], at[:-1][order], np.diff(at)[order] - _HEAD
+        windows = words[np.repeat(begin + _HEAD - np.cumsum(seen) + seen, seen) + np.arange(seen.sum())]
+        lines = _Lines(size, words[begin + 4] & 255, windows, threshold)
         tile = np.cumsum(np.append(True, token[1:] != token[:-1])) << 32
         end = np.searchsorted(tile + size, tile + np.floor(size / threshold + _EPS).astype(np.int64), "right")
         # with partners of its own size or more, a token further on can't be the first common one
         far = size - np.ceil(2 * threshold / (1 + threshold) * size - _EPS).astype(np.int64)
-        count = np.where(pos <= far, np.maximum(end - np.arange(n) - 1, 0), 0)
-        total = np.append(0, np.cumsum(count))
+        total = np.append(0, np.cumsum(np.where(lines.pos <= far, np.maximum(end - np.arange(n) - 1, 0), 0)))
+        marked = np.zeros(n, bool)
         for first in range(0, int(total[-1]), _PAIRS):
             x = np.arange(first, min(first + _PAIRS, int(total[-1])))
             i = np.searchsorted(total, x, "right") - 1
             j = i + 1 + x - total[i]
-            need = np.ceil(threshold / (1 + threshold) * (size[i] + size[j]) - _EPS)
-            ok = np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need
-            i, j, need = i[ok], j[ok], need[ok]
-            a, b = window[i], window[j]
-            equal = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
-            most = equal.any(2).sum(1) + np.maximum(size[i] - seen[i], size[j] - seen[j])
-            early = (equal.any(2) & (np.arange(WINDOW) < pos[i][:, None])).any(1)
-            ok = (most >= need) & ~early
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            swap = (order_doc[i] > order_doc[j]) | ((order_doc[i] == order_doc[j]) & ((th[i] > th[j]) | ((th[i] == th[j]) & (line[i] > line[j]))))
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            ii, jj = pa.array(i), pa.array(j)
-            yield pa.RecordBatch.from_arrays([pa.array(token[i]), doc.take(ii), pa.array(th[i]), pa.array(line[i]), doc.take(jj), pa.array(th[j]), pa.array(line[j])], names=["token", "doc", "th", "line", "doc2", "th2", "line2"])
+            ok = lines.allow(i, j)
+            marked[i[ok]] = marked[j[ok]] = True
+        begin = begin[marked]
+        doc = (words[begin].astype(np.int64) << 32) | words[begin + 1].view(np.uint32).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(token[marked]), pa.array(doc, mask=doc == _NULL), pa.array(words[begin + 2]), pa.array(words[begin + 3])], names=["token", "doc", "th", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,55 +240,78 @@ def _tiles(posted: DataFrame, threshold: float) -> DataFrame:
             token = b.column(0).to_numpy()
             last = int(np.searchsorted(token, token[-1]))
             if last or (held and held[0].column(0)[0] != b.column(0)[0]):
-                yield from pairs(pa.Table.from_batches([*held, b.slice(0, last)]))
+                yield partners(pa.Table.from_batches([*held, b.slice(0, last)]))
                 held = []
             held.append(b.slice(last))
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield partners(pa.Table.from_batches(held))
 
-    return posted.repartition("token").sortWithinPartitions("token", "size").mapInArrow(run, f"token int, {_LINE.format('')}, {_LINE.format(2)}")
+    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(run, f"token int, {_LINE.format('')}")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """Lines with an earlier one of enough similarity; each tile's sets come before its pairs."""
+    """Lines with an earlier one of enough similarity in their tile; once one is found, the others aren't looked at."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if min(len(x), len(y)) < threshold * max(len(x), len(y)) - _EPS:
+            return False
+        both = np.concatenate((x, y))
+        both.sort()
+        overlap = int(np.count_nonzero(both[1:] == both[:-1]))
+        return overlap >= threshold * (len(both) - overlap) - _EPS
+
+    def later(token: int, ids: list[tuple], sets: list[np.ndarray]) -> list[tuple]:
+        n = len(ids)
+        if n <= 6:
+            return [ids[j] for j in range(1, n) if any(alike(sets[i], sets[j]) for i in range(j))]
+        low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in sets]
+        size = np.array([len(x) for x in sets])
+        seen = np.minimum(_prefix(size, threshold), WINDOW)
+        lines = _Lines(size, np.array([int(np.argmax(x == token)) for x in low]), np.concatenate([x[:k] for x, k in zip(low, seen.tolist())]), threshold)
+        out, j = [], 1
+        while j < n:
+            stop = j + max(1, _PAIRS // 8 // n)
+            y = np.repeat(np.arange(j, min(stop, n)), np.arange(j, min(stop, n)))
+            x = np.arange(len(y)) - np.searchsorted(y, y)
+            ok = lines.allow(x, y)
+            found = -1
+            for a, b in zip(x[ok].tolist(), y[ok].tolist()):
+                if b != found and alike(sets[a], sets[b]):
+                    found = b
+                    out.append(ids[b])
+            j = stop
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sets, gone = None, {}, set()
+        tile, ids, sets = None, [], []
         for b in batches:
             out: list[tuple] = []
-            arrays = b.column(8)
-            for i, (token, kind, d, t, n, d2, t2, n2) in enumerate(zip(*(b.column(x).to_pylist() for x in range(8)))):
+            arrays = b.column(4)
+            for i, (token, *line) in enumerate(zip(*(b.column(x).to_pylist() for x in range(4)))):
                 if token != tile:
-                    tile, sets, gone = token, {}, set()
-                if kind == 0:
-                    sets[d, t, n] = np.frombuffer(arrays[i].as_buffer(), np.uint64)
-                    continue
-                later = (d2, t2, n2)
-                if later in gone:
-                    continue
-                x, y = sets[d, t, n], sets[later]
-                both = np.concatenate((x, y))
-                both.sort()
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                if overlap >= threshold * (len(x) + len(y) - overlap) - _EPS:
-                    gone.add(later)
-                    out.append(later)
-            if out:
-                d, t, n = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(n, pa.int32())], names=["doc", "th", "line"])
+                    out += later(tile, ids, sets)
+                    tile, ids, sets = token, [], []
+                if not ids or ids[-1] != tuple(line):
+                    ids.append(tuple(line))
+                    sets.append(np.frombuffer(arrays[i].as_buffer().to_pybytes(), np.uint64))
+            yield batch(out)
+        yield batch(later(tile, ids, sets))
+
+    def batch(lines: list[tuple]) -> pa.RecordBatch:
+        d, t, n = zip(*lines) if lines else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(n, pa.int32())], names=["doc", "th", "line"])
 
-    return rows.repartition("token").sortWithinPartitions("token", "kind", "doc2", "th2", "line2", "doc", "th", "line").mapInArrow(run, _LINE.format(""))
+    return rows.repartition("token").sortWithinPartitions("token", "doc", "th", "line").mapInArrow(run, _LINE.format(""))
 
 
-def _line_sets(docs: DataFrame) -> DataFrame:
-    """(doc, th, line, arr): the sorted hashes of those lines of (doc, text, th, lines) that are in lines."""
-    none = np.zeros(2, np.uint8)
+def _line_sets(docs: DataFrame, level, bits: int) -> DataFrame:
+    """(doc, th, line, arr): the token hashes, rarest first, of those lines of (doc, text, th, lines) that are in lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             th, wanted = b.column(2).to_numpy(), b.column(3)
             for lo, first, t in _line_tokens(b.column(1)):
-                h, _, cut = _distinct(t, none, 1)
+                h, _, cut = _distinct(t, level.value, bits)
                 part = wanted.slice(lo, len(first) - 1)
                 text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
                 line = part.flatten().to_numpy()
@@ -245,21 +332,15 @@ def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("th", F.hash("text"))
     level = spark.sparkContext.broadcast(rarity_levels(docs, bucket_bits))
     records = _records(docs, level, bucket_bits, threshold, min_tokens)
-    at = F.row_number().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
+    at = F.rank().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
     ranked = written(records.withColumn("n", F.when(F.col("gone"), 2).otherwise(at)).select("doc", "th", "line", "size", F.when(F.col("n") == 1, F.col("prefix")).alias("prefix")), "lines")
-    window = F.unhex(F.rpad(F.array_join(F.transform(F.slice("prefix", 1, WINDOW), lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""), 8 * WINDOW, "0"))
-    posted = ranked.where("prefix is not null").select("doc", "th", "line", "size", window.alias("window"), F.posexplode("prefix").alias("pos", "token"))
-    pairs = written(_tiles(posted.select("token", "size", "pos", "doc", "th", "line", "window"), threshold), "pairs")
-    needed = written(pairs.select("token", "doc", "th", "line").union(pairs.select("token", "doc2", "th2", "line2")).distinct(), "needed")
+    needed = written(_tiles(_post(ranked.where("prefix is not null")), threshold), "needed")
     by_text = needed.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("lines"))
-    some = needed.select("doc", "th", "line").distinct().count() <= BROADCAST_ROWS
-    by_text = F.broadcast(by_text) if some else by_text
-    sets = _line_sets(docs.join(by_text, docs["doc"].eqNullSafe(by_text["_doc"]) & (docs["th"] == by_text["_th"])).select("doc", "text", "th", "lines"))
-    none = F.lit(None)
-    line = (needed["doc"].eqNullSafe(sets["doc"])) & (needed["th"] == sets["th"]) & (needed["line"] == sets["line"])
-    met = needed.join(sets, line).select(needed["token"], F.lit(0).alias("kind"), needed["doc"], needed["th"], needed["line"], none.cast("bigint").alias("doc2"), none.cast("int").alias("th2"), none.cast("int").alias("line2"), "arr")
-    met = met.union(pairs.select("token", F.lit(1), "doc", "th", "line", "doc2", "th2", "line2", none.cast("binary")))
-    return written(ranked.where("prefix is null").select("doc", "th", "line").union(_verify(met, threshold)).distinct(), "gone")
+    by_text = F.broadcast(by_text) if needed.count() <= BROADCAST_LINES else by_text
+    sets = _line_sets(docs.join(by_text, docs["doc"].eqNullSafe(by_text["_doc"]) & (docs["th"] == by_text["_th"])).select("doc", "text", "th", "lines"), level, bucket_bits)
+    met = needed.join(sets, needed["doc"].eqNullSafe(sets["doc"]) & (needed["th"] == sets["th"]) & (needed["line"] == sets["line"]))
+    found = _verify(met.select(needed["token"], needed["doc"], needed["th"], needed["line"], "arr"), threshold)
+    return written(ranked.where("prefix is null").select("doc", "th", "line").union(found).distinct(), "gone")
 
 
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:

@@ -157,7 +157,7 @@ v AS (SELECT b.g FROM p JOIN u a ON a.k = ka JOIN u b ON b.k = kb WHERE a.f < b.
 z AS (SELECT doc_id, n, line, coalesce(u.f < (doc_id, n), false) OR l.g IN (SELECT g FROM v) AS gone FROM l LEFT JOIN u USING (g)),
 y AS (SELECT doc_id, bool_or(gone) AS cut, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS rest FROM z GROUP BY doc_id)
 SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, lang, source, length(CASE WHEN cut THEN rest ELSE text END) AS n_chars
-FROM {table} LEFT JOIN y USING (doc_id) WHERE NOT coalesce(cut, false) OR regexp_matches(rest, '[^\s]')"""
+FROM {table} LEFT JOIN y USING (doc_id) WHERE NOT coalesce(cut, false) OR regexp_matches(rest, '[^ \t\r\n]')"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
