@@ -12,6 +12,7 @@ from .functions import text as T
 from .functions import vector as V
 from .operators import context, lines, metrics, ranking, selection, tensors, tools, trajectories
 from .plans import rankers
+from .streaming import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -478,3 +479,8 @@ def planner_minimum(spark, sf_dir):
 def planner_greedy(spark, sf_dir):
     recency = context.tiers(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "recency", (1 + 1 / (1 + F.col("recency"))).alias("importance"))
     return context.greedy_plan(views(spark, sf_dir).join(recency, ["conv_id", "turn"]), "conv_id", id_col="turn")
+
+
+@query()
+def trace_replay(spark, sf_dir):
+    return replay.replay(replay.trace_of_turns(table(spark, sf_dir, "conversations")))
