@@ -45,3 +45,12 @@ def test_raw_store(spark, tmp_path):
     store = spark.read.parquet(str(tmp_path / "s"))
     assert files.unexpired(store, datetime.datetime.now() + datetime.timedelta(hours=200)).count() == 0
     assert files.unexpired(store, datetime.datetime.now()).count() == 1
+
+
+def test_training_rows(spark):
+    rows = [("a", "x\ny\nz", None, "q", None, [0, 1, 1], None), ("b", None, "p\n q \nr", None, None, None, ["q", "r\n"])]
+    df = spark.createDataFrame(rows, "sample_id string, code string, document string, query string, labels array<int>, line_keep_labels array<int>, kept_frags array<string>")
+    got = {r.request_id: r for r in files.convert_training_rows(df).collect()}
+    assert got["a"].gold == [2, 3] and got["b"].gold == [2, 3] and got["b"].text == "p\n q \nr" and got["b"].query == ""
+    with pytest.raises(Exception, match="differ in number"):
+        files.convert_training_rows(df.selectExpr("sample_id", "code", "document", "query", "labels", "array(1) AS line_keep_labels", "kept_frags")).collect()

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import text as T
 from .functions import vector as V
-from .operators import context, lines, metrics, ranking, selection, tensors, tools, trajectories
-from .plans import rankers
+from .operators import compaction, context, lines, metrics, ranking, selection, tensors, tools, trajectories
+from .plans import rankers, surprisal
 from .streaming import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -484,3 +484,22 @@ def planner_greedy(spark, sf_dir):
 @query()
 def trace_replay(spark, sf_dir):
     return replay.replay(replay.trace_of_turns(table(spark, sf_dir, "conversations")))
+
+
+@query()
+def adaptive_evidence(spark, sf_dir):
+    """Also what fits the output cap."""
+    ranked = tools.ranked_blocks(fixtures.observations(spark), "obs_id").withColumn("found", F.array_intersect(T.term_set(F.col("text")), T.term_set(F.col("query"))))
+    kept = compaction.adaptive_evidence(ranked, "obs_id").join(ranked.select("obs_id", "block", "is_hard", "rrf", "text"), ["obs_id", "block"])
+    return compaction.cap_output(kept, "obs_id", max_chars=600).select("obs_id", "block", "why")
+
+
+@query()
+def posterior_compaction(spark, sf_dir):
+    x = fixtures.observations(spark).withColumnRenamed("query", "posterior")
+    return compaction.posterior_compaction(x, "obs_id", min_tokens=40, min_savings=5)
+
+
+@query()
+def conditional_ppl(spark, sf_dir):
+    return surprisal.conditional_surprisal(_requests(spark), surprisal.word_overlap_scorer(), no_prune_below=0).select("request_id", "line_no", "score")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
+from ..functions import text as T
+
 BUDGET = "struct<keep_ratio:double,min_lines:int,max_lines:int,no_prune_below:int,context_window:int>"
 REQUEST = f"request_id string, text string, query string, tool_type string, path string, recent_context array<string>, budget {BUDGET}, metadata map<string,string>"
 
@@ -93,3 +95,22 @@ def read_raw(spark: SparkSession, path: str, raw_id: str) -> DataFrame:
 def unexpired(df: DataFrame, now, hours: int = 72) -> DataFrame:
     """What the store keeps: rows of the last hours, the limit itself included."""
     return df.where(F.col("created_at") >= F.lit(now) - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def convert_training_rows(df: DataFrame, *, keep_ratio: float = 0.5, no_prune_below: int = 20) -> DataFrame:
+    """Replay rows of training rows (sample_id, code, document, query, labels, line_keep_labels, kept_frags).
+
+    The text is code or, without it, document.  Gold lines are those of positive
+    labels, else those equal, when trimmed, to a kept fragment's line.  As many
+    labels as lines are needed; another number fails the job.
+    """
+    text = F.coalesce("code", "document", F.lit(""))
+    lines = T.split_lines(text)
+    labels = F.coalesce("line_keep_labels", "labels")
+    wrong = labels.isNotNull() & (F.size(labels) != F.size(lines))
+    positive = F.filter(F.transform(labels, lambda x, i: F.when(x > 0, i + 1)), lambda x: x.isNotNull())
+    frags = F.filter(F.flatten(F.transform("kept_frags", lambda f: F.transform(T.split_lines(f), lambda x: F.btrim(x)))), lambda x: x != "")
+    matched = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains(frags, F.btrim(x)), i + 1)), lambda x: x.isNotNull())
+    gold = F.when(wrong, F.raise_error(F.lit("labels and lines differ in number"))).otherwise(F.coalesce(positive, matched, F.array().cast("array<int>")))
+    budget = F.struct(F.lit(keep_ratio).alias("keep_ratio"), F.lit(1).alias("min_lines"), F.lit(None).cast("int").alias("max_lines"), F.lit(no_prune_below).alias("no_prune_below"), F.lit(1).alias("context_window"))
+    return df.select(F.col("sample_id").alias("request_id"), text.alias("text"), F.coalesce("query", F.lit("")).alias("query"), budget.alias("budget"), gold.alias("gold"))
