@@ -26,6 +26,7 @@ THRESHOLD = 0.85
 MIN_TOKENS = 5
 BUCKET_BITS = 21
 WINDOW = 16
+LEAST_WINDOW = 8
 #: A list of at most so many line numbers is broadcast (4 bytes each, and some 40 a text); a longer one is joined by shuffling the texts.
 BROADCAST_LINES = 4_000_000
 _PAIRS = 1 << 20
@@ -118,7 +119,7 @@ def _records(docs: DataFrame, level, bits: int, threshold: float, min_tokens: in
                     continue
                 k1, k2 = (_sums(_text.mix64(x), cut)[lines] for x in (h + np.uint64(1), h ^ np.uint64(0xA5A5A5A55A5A5A5A)))
                 text = np.searchsorted(first, lines, "right") - 1
-                p = _prefix(size[lines], threshold)
+                p = _window(size[lines], threshold)
                 inside = np.repeat(cut[lines] - np.cumsum(p) + p, p) + np.arange(p.sum())
                 parts.append((text + lo, lines - first[text], k1, k2, size[lines], p, (h[inside] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             if not parts:
@@ -149,7 +150,7 @@ class _Lines:
 
     def __init__(self, size: np.ndarray, pos: np.ndarray, windows: np.ndarray, threshold: float) -> None:
         self.size, self.pos, self.threshold = size.astype(np.int64), pos.astype(np.int64), threshold
-        self.seen = np.minimum(_prefix(self.size, threshold), WINDOW)
+        self.seen = np.minimum(_window(self.size, threshold), WINDOW)
         self.window = np.zeros((len(size), WINDOW), np.int32)
         self.window[np.arange(WINDOW) < self.seen[:, None]] = windows
 
@@ -169,7 +170,12 @@ class _Lines:
         return ok
 
 
-def _post(ranked: DataFrame) -> DataFrame:
+def _window(size: np.ndarray, threshold: float) -> np.ndarray:
+    """How many ids tell a line to the filters: its prefix's, and more of a line with a short prefix."""
+    return np.maximum(_prefix(size, threshold), np.minimum(size, LEAST_WINDOW))
+
+
+def _post(ranked: DataFrame, threshold: float) -> DataFrame:
     """(token, line): each line under each token of its prefix, packed into words of 32 bits.
 
     These are the document (two), the text hash, the line number, the size with
@@ -180,12 +186,13 @@ def _post(ranked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prefix = b.column(4)
-            count = prefix.value_lengths().to_numpy().astype(np.int64)
+            known = prefix.value_lengths().to_numpy().astype(np.int64)
             ids = prefix.flatten().to_numpy()
+            count = _prefix(b.column(3).to_numpy().astype(np.int64), threshold)
             row = np.repeat(np.arange(len(count)), count)
-            first = np.cumsum(count) - count
-            pos = np.arange(len(row)) - first[row]
-            seen = np.minimum(count, WINDOW)[row]
+            first = np.cumsum(known) - known
+            pos = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+            seen = np.minimum(known, WINDOW)[row]
             at = np.append(0, np.cumsum(seen + _HEAD))
             words = np.empty(at[-1], np.int32)
             doc = b.column(0).fill_null(_NULL).to_numpy()[row]
@@ -195,7 +202,7 @@ def _post(ranked: DataFrame) -> DataFrame:
             inside = np.arange(seen.sum()) - np.repeat(np.cumsum(seen) - seen, seen)
             words[np.repeat(at[:-1] + _HEAD, seen) + inside] = ids[np.repeat(first[row], seen) + inside]
             packed = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(words)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), packed], names=["token", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first[row] + pos]), packed], names=["token", "line"])
 
     return ranked.select("doc", "th", "line", "size", "prefix").mapInArrow(run, "token int, line binary")
 
@@ -266,7 +273,7 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
             return [ids[j] for j in range(1, n) if any(alike(sets[i], sets[j]) for i in range(j))]
         low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in sets]
         size = np.array([len(x) for x in sets])
-        seen = np.minimum(_prefix(size, threshold), WINDOW)
+        seen = np.minimum(_window(size, threshold), WINDOW)
         lines = _Lines(size, np.array([int(np.argmax(x == token)) for x in low]), np.concatenate([x[:k] for x, k in zip(low, seen.tolist())]), threshold)
         out, j = [], 1
         while j < n:
@@ -334,7 +341,7 @@ def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     records = _records(docs, level, bucket_bits, threshold, min_tokens)
     at = F.rank().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
     ranked = written(records.withColumn("n", F.when(F.col("gone"), 2).otherwise(at)).select("doc", "th", "line", "size", F.when(F.col("n") == 1, F.col("prefix")).alias("prefix")), "lines")
-    needed = written(_tiles(_post(ranked.where("prefix is not null")), threshold), "needed")
+    needed = written(_tiles(_post(ranked.where("prefix is not null"), threshold), threshold), "needed")
     by_text = needed.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("lines"))
     by_text = F.broadcast(by_text) if needed.count() <= BROADCAST_LINES else by_text
     sets = _line_sets(docs.join(by_text, docs["doc"].eqNullSafe(by_text["_doc"]) & (docs["th"] == by_text["_th"])).select("doc", "text", "th", "lines"), level, bucket_bits)
