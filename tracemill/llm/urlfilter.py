@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import math
-
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
@@ -109,19 +108,13 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """(host, words): each distinct host's labels, the last one aside, split into words in their order; numbers as '#'."""
     labels = written(hosts.select("host").where("host <> ''").distinct().select("host", F.posexplode(F.split("host", "\\.")).alias("at", "label")), "labels")
-    last = F.max("at").over(_by("host"))
+    last = F.max("at").over(Window.partitionBy("host"))
     parts = labels.withColumn("last", last).where("at < last or last = 0").select("host", "at", F.posexplode(F.split(F.regexp_replace("label", "[0-9]+", "-#-"), "[^\\p{L}#]+")).alias("part", "name")).where("name <> ''")
     words = segment_names(parts.select("name"), counts)
     joined = parts.join(small(words), "name")
     return joined.groupBy("host").agg(F.flatten(F.array_sort(F.collect_list(F.struct("at", "part", "words")))["words"]).alias("words"))
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
 def url_tokens(pages: DataFrame, counts: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, url, host_words, tokens) of every row: tokens are the distinct 'h:' words of its host and 'p:' tokens of its path."""
     rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), url_host(F.col(url_col).cast("string")).alias("host"))
@@ -149,6 +142,11 @@ def train(rows: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     return seen.select("token", (rate("b", b) - rate("g", g)).alias("weight")).union(prior)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with a number each, written, so that the numbers stay."""
+    return written(rows.withColumn("_row", F.monotonically_increasing_id()), "urls")
+
+
 def score(rows: DataFrame, model: DataFrame, *, id_col: str = "page_id", threshold: float = THRESHOLD) -> DataFrame:
     """(id, url, host_words, score, is_bad) of every row (id, url, host_words, tokens): the log odds that it is bad.
 
@@ -156,7 +154,7 @@ def score(rows: DataFrame, model: DataFrame, *, id_col: str = "page_id", thresho
     """
     prior = model.where("token = ''").first()
     prior = prior["weight"] if prior else 0.0
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    rows = rows if "_row" in rows.columns else _numbered(rows)
     each = rows.select("_row", F.explode("tokens").alias("token"))
     weights = each.join(small(model.where("token <> ''")), "token").groupBy("_row").agg(F.sum("weight").alias("_w"))
     total = F.coalesce("_w", F.lit(0.0)) + F.lit(prior)
@@ -173,7 +171,7 @@ def filter_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame, *, id_col:
     repeated rows are scored alike; other columns are not read.
     """
     counts = written(word_counts(docs), "words")
-    rows = written(url_tokens(pages, counts, id_col=id_col, url_col=url_col), "urls")
+    rows = _numbered(url_tokens(pages, counts, id_col=id_col, url_col=url_col))
     doc = doc_id if doc_id is not None else F.try_to_number(F.nullif(F.regexp_extract(F.regexp_extract("url", _URL, 2), r"^[^?]*?/([0-9]{1,18})(?:[/.?]|$)", 1), F.lit("")), F.lit("9" * 18)).cast("bigint")
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).withColumnRenamed("doc_id", "_doc")
     labelled = rows.withColumn("_doc", doc).join(bad, "_doc").select("tokens", "bad")
