@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from . import _text
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
+CACHE_PAIRS = 300_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 
 
@@ -127,6 +128,8 @@ class Encoder:
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self.model.merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return known
 
