@@ -76,3 +76,18 @@ def test_boundary(spark):
     df = spark.createDataFrame([("a <output>\nraw\n</output> b", "raw"), ("x raw y", "raw"), ("raw raw", "raw"), ("none", "raw")], "content string, raw string")
     got = [(r.prefix, r.suffix) for r in context.locate_boundary(df).collect()]
     assert got == [("a <output>\n", "\n</output> b"), ("x ", " y"), (None, None), (None, None)]
+
+
+def test_rules_of_the_query_and_of_trees(spark):
+    from tracemill.plans import rankers
+
+    tree = "src/\n├── app/\n│   ├── main.py\n│   └── core.py\n└── tests/\n    └── test_a.py"
+    rows = [(1, "tree src", "", "where is core.py", tree), (2, "make", "", "load_config", "one\ntwo\nthree\nx = conf.load_config(1)\nfive\nsix\nseven")]
+    df = spark.createDataFrame(rows, "request_id long, command string, path string, query string, text string")
+    got = {(r.request_id, r.line_no): r for r in rankers.execution_scores(df).collect()}
+    # worked out by the reference's rules: 'py' hits lines 3, 4 and 6; an ancestor scores once for each hit below it
+    assert [round(got[1, k].score, 2) for k in range(1, 7)] == [12.01, 10.01, 19.01, 19.01, 7.01, 19.01]
+    assert got[1, 4].seed and got[1, 4].reasons == ["query_symbol_match", "tree_query_hit"]
+    assert got[1, 1].reasons == ["tree_shallow", "tree_ancestor"] and got[1, 1].mandatory and not got[1, 1].seed
+    assert got[2, 4].mandatory and got[2, 4].reasons == ["query_symbol_match"] and round(got[2, 4].score, 2) == 9.01
+    assert (2, 4) in {(r.request_id, r.line_no) for r in rankers.ir_ast_hybrid(df, no_prune_below=0, keep_ratio=0.1).collect()}

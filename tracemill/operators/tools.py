@@ -109,17 +109,53 @@ RULES = [
 ]
 
 
-def execution_rules(lines: DataFrame, *id_cols: str, window: int = 1, base: float = 0.01, context: float = 1.0) -> DataFrame:
-    """`score`, `reasons`, `mandatory`, `seed` of lines (ids, tool_type, line_no, line); lines near a seed get the context's score."""
+def query_symbols(query: Column) -> Column:
+    """Distinct lower-case identifiers of the query, their parts, and its plain words of more than one character."""
+    query = F.coalesce(query, F.lit(""))
+    found = T.identifiers(query)
+    parts = F.flatten(F.transform(found, lambda x: F.split(x, r"[.:\-/]+")))
+    return F.filter(F.array_distinct(F.concat(found, parts, F.transform(T.extract(query, "[A-Za-z_][A-Za-z0-9_]*"), F.lower))), lambda x: F.length(x) > 1)
+
+
+def branch_depth(line: Column) -> Column:
+    """Depth by the prefix of a branch glyph in steps of four, tabs to the next step; without a glyph, by indentation in steps of two."""
+    chars = F.filter(F.split(F.regexp_extract(line, "(?U)" + BRANCH, 1), ""), lambda c: c != "")
+    wide = F.aggregate(chars, F.lit(0), lambda n, c: F.when(c == "\t", n + 4 - n % 4).otherwise(n + 1))
+    depth = F.when(line.rlike("(?U)" + BRANCH), F.floor(wide / 4) + 1).otherwise(F.floor(F.length(F.regexp_extract(line, r"(?U)^(\s*)", 1)) / 2))
+    return depth.cast("int")
+
+
+def _query_hits(lines: DataFrame, symbols: str, id_cols: tuple[str, ...], shallow: int = 1) -> tuple[DataFrame, list[tuple]]:
+    """lines with columns for the rules of the query's symbols and of trees; and these rules: condition, reason, score, expands."""
+    tree = F.col("tool_type") == "tree"
+    own = T.identifiers(F.col("line"))
+    leaves = F.flatten(F.transform(own, lambda x: F.split(x, r"[.:\-/]+")))
+    x = lines.withColumns({"_match": F.arrays_overlap(symbols, F.concat(own, leaves)), "_hit": tree & F.exists(symbols, lambda s: F.contains(F.lower("line"), s)), "_depth": F.when(tree, branch_depth(F.col("line")))})
+    later = F.collect_list(F.when(tree, F.struct("line_no", "_depth", "_hit"))).over(Window.partitionBy(*id_cols).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing))
+    end = F.coalesce(F.array_min(F.transform(F.filter("_later", lambda a: a["_depth"] <= F.col("_depth")), lambda a: a["line_no"])), F.lit(1 << 31))
+    x = x.withColumn("_later", later).withColumn("_end", end)
+    below = F.when(tree, F.size(F.filter("_later", lambda a: a["_hit"] & (a["line_no"] < F.col("_end"))))).otherwise(0)
+    x = x.withColumn("_below", below).drop("_later", "_end")
+    return x, [(F.col("_match"), "query_symbol_match", 9, True), (tree & (F.col("_depth") <= shallow), "tree_shallow", 3, False), (F.col("_hit"), "tree_query_hit", 10, True), (F.col("_below") > 0, "tree_ancestor", 3 * F.col("_below"), False)]
+
+
+def execution_rules(lines: DataFrame, *id_cols: str, window: int = 1, base: float = 0.01, context: float = 1.0, symbols: str | None = None) -> DataFrame:
+    """`score`, `reasons`, `mandatory`, `seed` of lines (ids, tool_type, line_no, line); lines near a seed get the context's score.
+
+    symbols: a column of the query's symbols; with it, lines that hold one count, and so do shallow lines of trees, and hits there with their ancestors (once a hit).
+    """
     hits = [((F.col("tool_type") == k) & F.col("line").rlike(p), r, s, e) for k, r, p, s, e in RULES]
+    if symbols:
+        lines, more = _query_hits(lines, symbols, id_cols)
+        hits = [*more, *hits]
     fired = F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r, _, _ in hits)))
-    score = sum((F.when(c, float(s)).otherwise(0.0) for c, _, s, _ in hits), F.lit(base))
+    score = sum((F.when(c, s * F.lit(1.0)).otherwise(0.0) for c, _, s, _ in hits), F.lit(base))
     hunk = (F.col("tool_type") == "diff") & F.col("line").rlike(HUNK)
     seed = F.exists(F.array(*(c for c, _, _, e in hits if e), hunk), lambda x: x)
     by = Window.partitionBy(*id_cols).orderBy("line_no").rowsBetween(-window, window)
     x = lines.withColumns({"reasons": fired, "score": score, "seed": seed}).withColumn("_near", F.max(F.col("seed").cast("int")).over(by) == 1)
     x = x.withColumn("mandatory", F.size("reasons") > 0)
-    return x.withColumns({"score": F.col("score") + F.when(F.col("_near") & ~F.col("seed"), context).otherwise(0.0), "reasons": F.when(F.col("_near") & ~F.col("seed"), F.concat("reasons", F.array(F.lit("context")))).otherwise(F.col("reasons"))}).drop("_near")
+    return x.withColumns({"score": F.col("score") + F.when(F.col("_near") & ~F.col("seed"), context).otherwise(0.0), "reasons": F.when(F.col("_near") & ~F.col("seed"), F.concat("reasons", F.array(F.lit("context")))).otherwise(F.col("reasons"))}).drop("_near", "_match", "_hit", "_depth", "_below")
 
 
 def tree_ancestors(lines: DataFrame, hits: DataFrame, *id_cols: str) -> DataFrame:

@@ -31,10 +31,16 @@ def ir_scores(requests: DataFrame, *, window: int = 1) -> DataFrame:
 
 
 def ast_scores(requests: DataFrame) -> DataFrame:
-    """Lines with the scores of the rules for their kind of output."""
+    """Lines with the scores of the rules for their kind of output; the query and trees aside."""
     return tools.execution_rules(_numbered(tools.detect_tool_type(requests), "tool_type"), "request_id")
 
 
+def execution_scores(requests: DataFrame) -> DataFrame:
+    """Lines with the scores of all rules: of the query's symbols, and for their kind of output."""
+    x = _numbered(tools.detect_tool_type(requests), "tool_type", "query").withColumn("_symbols", tools.query_symbols(F.col("query")))
+    return tools.execution_rules(x, "request_id", symbols="_symbols").drop("_symbols", "query")
+
+
 def prune(scores: DataFrame, *, keep_ratio: float = 0.5, no_prune_below: int = 20, window: int = 1) -> DataFrame:
     """The kept lines of scored ones under the budget."""
     target = selection.target_lines(F.col("n_lines"), F.lit(keep_ratio), no_prune_below=no_prune_below)
@@ -46,14 +52,14 @@ def ir_structural(requests: DataFrame, **budget) -> DataFrame:
 
 
 def execution_ast(requests: DataFrame, **budget) -> DataFrame:
-    return prune(ast_scores(requests), **budget)
+    return prune(execution_scores(requests), **budget)
 
 
 def ir_ast_hybrid(requests: DataFrame, *, ir_weight: float = 0.55, **budget) -> DataFrame:
     """Rank percentiles of both scores, weighted; critical rules' lines have to stay."""
     a = ranking.rank_percentiles(ir_scores(requests), "request_id").select("request_id", "line_no", "n_lines", "line", F.col("percentile").alias("a"), F.col("seed").alias("s"))
-    b = ranking.rank_percentiles(ast_scores(requests), "request_id").select("request_id", "line_no", F.col("percentile").alias("b"), "reasons", F.col("seed").alias("t"))
-    critical = F.exists("reasons", lambda r: r.rlike("^(?:source_error|traceback_|test_|diff_|grep_hit)"))
+    b = ranking.rank_percentiles(execution_scores(requests), "request_id").select("request_id", "line_no", F.col("percentile").alias("b"), "reasons", F.col("seed").alias("t"))
+    critical = F.exists("reasons", lambda r: r.rlike("^(?:query_symbol_match|source_error|traceback_|test_|diff_|grep_hit|tree_query_hit)"))
     x = a.join(b, ["request_id", "line_no"]).withColumns({"score": F.round(ir_weight * F.col("a") + (1 - ir_weight) * F.col("b"), 9), "mandatory": critical, "seed": F.col("s") | F.col("t")})
     return prune(x, **budget)
 

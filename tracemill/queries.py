@@ -348,6 +348,11 @@ def ir_structural(spark, sf_dir):
     return rankers.ir_structural(_requests(spark), no_prune_below=0).select("request_id", "line_no", "score")
 
 
+@query()
+def execution_ast(spark, sf_dir):
+    return rankers.execution_ast(_requests(spark), no_prune_below=0).select("request_id", "line_no", "score")
+
+
 @query()
 def ir_ast_hybrid(spark, sf_dir):
     return rankers.ir_ast_hybrid(_requests(spark), no_prune_below=0).select("request_id", "line_no", "score")
