@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 import re
 
-from tracemill.llm import linededup
+import numpy as np
+
+from tracemill.llm import _text, linededup
 
 
 def tokens(line):
@@ -66,3 +68,17 @@ def test_ties_of_one_id_are_settled_by_text(spark):
     rows = [(1, "a b c d e f g\nmore words that only one text has"), (1, "a b c d e f g\nother ones which nobody else has got")]
     got = [r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sum("a b c" in t for t in got) == 1 and len(got) == 2
+
+
+def test_one_order_with_and_without_collisions():
+    """A collision of 34 bits in one line leaves the order of the others' tokens as it is in other chunks."""
+    low = [(9 << 40) + 1, (5 << 40) + 2, (7 << 40) + 3]
+
+    def ordered(*lines):
+        first = np.cumsum([0] + [len(x) for x in lines])
+        row = np.repeat(np.arange(len(lines)), np.diff(first))
+        t = _text.Tokens(first[:-1], first[1:], row, first, np.array([h for x in lines for h in x], np.uint64), first)
+        h, _, cut = linededup._distinct(t, np.zeros(1 << 4, np.uint8), 4)
+        return h[cut[0] : cut[1]].tolist()
+
+    assert ordered(low) == ordered(low, [8, 8 + (1 << 34)]) == low

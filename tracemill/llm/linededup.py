@@ -81,7 +81,7 @@ def _distinct(t: _text.Tokens, level: np.ndarray, bits: int) -> tuple[np.ndarray
     order = np.argsort(packed, kind="stable")
     h, p = t.hash[order], packed[order]
     if len(t.first) > 1 << 22 or np.any((p[1:] == p[:-1]) & (h[1:] != h[:-1])):
-        order = np.lexsort((t.hash, lev, t.row))
+        order = np.lexsort((t.hash, t.hash & np.uint64((1 << 34) - 1), lev, t.row))  # the same order, with ties settled
         h = t.hash[order]
     row = t.row[order]
     keep = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
