@@ -54,7 +54,7 @@ _FOLDED = _TOKENS.format(r"lower(regexp_replace({}, '[\x00!-/:-@\[-`{{-~]', '',
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near copies, equal sets as lists."""
+    """All pairs of different near copies, and the members of each class of equal sets."""
     return jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
@@ -72,8 +72,8 @@ p AS (SELECT * FROM o WHERE overlap >= {jaccard.THRESHOLD} * (size_a + size_b -
 def jaccard_sql(table: str = "documents") -> str:
     return f"""
 WITH {_jaccard_sets(table)}
-SELECT a.ids AS ids_a, b.ids AS ids_b, overlap, size_a, size_b, overlap / (size_a + size_b - overlap) AS jaccard FROM p JOIN u a ON a.k = ka JOIN u b ON b.k = kb
-UNION ALL SELECT ids, ids, size, size, size, 1.0 FROM u WHERE len(ids) > 1"""
+SELECT ka AS id_a, kb AS id_b, overlap, size_a, size_b, overlap / (size_a + size_b - overlap) AS jaccard FROM p
+UNION ALL SELECT k, i, size, size, size, 1.0 FROM (SELECT k, size, unnest(ids) AS i FROM u) WHERE i <> k"""
 
 
 def near_copies_sql(table: str = "documents") -> str:
