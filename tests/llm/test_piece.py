@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -47,10 +48,32 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 def test_decode(spark):
-    # the dummy prefix is that of the first id; after <s> the library drops it too, this decoder doesn't
     df = spark.createDataFrame([(1, [22557, 28725, 2]), (2, []), (3, None), (4, [0xE2 + 3, 0])], "i int, ids array<int>")
     got = {r.i: r.text for r in piece.decode(df, model).collect()}
     assert got == {1: theirs.decode([22557, 28725, 2]), 2: "", 3: None, 4: theirs.decode([0xE2 + 3, 0])}
+    assert piece.decode(df.where("false"), model).collect() == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 400), max_size=9), max_size=8))
+def test_any_ids_as_in_the_library(ids):
+    """Control pieces, bytes that aren't UTF-8 and the unknown piece among them."""
+    ids += [[1, *theirs.encode("hello there")], [1, 2, 28705, 28705, 300]]
+    cut = [0]
+    for x in ids:
+        cut.append(cut[-1] + len(x))
+    got = decoder.column(np.array(cut), np.array([i for x in ids for i in x], np.int64))
+    assert got.to_pylist() == [theirs.decode(x) for x in ids]
+
+
+def test_pairs_are_those_of_the_merges():
+    """The test of two pieces against encoding both together, whatever was asked before."""
+    random.seed(3)
+    a, b = random.choices(model.reachable, k=4000), random.choices(model.reachable, k=4000)
+    want = [model.merge(model.pieces[x] + model.pieces[y]) == [model.pieces[x], model.pieces[y]] for x, y in zip(a, b)]
+    for _ in range(2):
+        assert encoder.pairs.ok(np.array(a), np.array(b)).tolist() == want
+    assert not all(want)
 
 
 def test_other_models_are_refused(tmp_path):

@@ -102,13 +102,18 @@ class EliasFano:
     def __len__(self) -> int:
         return self.n
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return (ones - np.arange(self.n)) << self.low_bits | unpack(self.low, self.low_bits, 0, self.n).astype(np.int64)
-
-
-def to_shard(docs: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """One shard's file."""
+    def values(self, first: int, stop: int) -> np.ndarray:
+        """Numbers first to stop - 1: one select, then a walk over the upper bits between."""
+        if first >= stop:
+            return np.zeros(0, np.int64)
+        lo, hi = self.select(first), self.select(stop - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[lo >> 3 : (hi >> 3) + 1], bitorder="little")) + (lo >> 3 << 3)
+        ones = ones[(ones >= lo) & (ones <= hi)]
+        return (ones - np.arange(first, stop)) << self.low_bits | unpack(self.low, self.low_bits, first, stop - first).astype(np.int64)
+
+
+def to_shard(docs: list[int | None], ends: np.ndarray, ids: np.ndarray) -> tuple[bytes, int]:
+    """One shard's file, and how many bytes of it are boundaries."""
     boundaries = EliasFano.build(ends).to_bytes()
     some = [d for d in docs if d is not None]
     least = min(some, default=0)
@@ -116,7 +121,7 @@ def to_shard(docs: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes
     packed = pack(np.array([0 if d is None else d - least + 1 for d in docs], np.uint64), bits)
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     head = struct.pack("<8sIBBxxqQI", MAGIC, len(docs), width, bits, least, len(ids), len(packed))
-    return head + boundaries + packed + ids.astype(np.uint16 if width == 2 else np.uint32).tobytes()
+    return head + boundaries + packed + ids.astype(np.uint16 if width == 2 else np.uint32).tobytes(), len(boundaries)
 
 
 class Shard:
@@ -141,8 +146,13 @@ class Shard:
         a, b = self.offsets(k)
         return self.ids[a:b]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None if x == 0 else int(x) - 1 + self.least for x in unpack(self.docs, self.bits, 0, self.n).tolist()]
+    def cuts(self, first: int, stop: int) -> np.ndarray:
+        """Where documents first to stop - 1 begin, and where the last one ends."""
+        ends = self.ends.values(max(first - 1, 0), stop)
+        return np.append(0, ends) if first == 0 else ends
+
+    def doc_ids(self, first: int, stop: int) -> list[int | None]:
+        return [None if x == 0 else int(x) - 1 + self.least for x in unpack(self.docs, self.bits, first, stop - first).tolist()]
 
 
 def write_token_shards(df: DataFrame, path: str | None = None, *, id_col: str = "doc_id", ids_col: str = "ids", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -162,13 +172,12 @@ def write_token_shards(df: DataFrame, path: str | None = None, *, id_col: str =
 
         def flush() -> pa.RecordBatch:
             ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
-            raw = to_shard(docs, ends, np.concatenate(ids))
+            raw, boundaries = to_shard(docs, ends, np.concatenate(ids))
             name = f"{uuid.uuid4().hex}.tok"
             with where.open_output_stream(f"{base}/.{name}") as f:
                 f.write(raw)
             where.move(f"{base}/.{name}", f"{base}/{name}")
-            bits = 8 * len(EliasFano.build(ends).to_bytes())
-            return pa.RecordBatch.from_pylist([{"shard": f"{path.rstrip('/')}/{name}", "documents": len(docs), "tokens": int(ends[-1]), "bytes": len(raw), "boundary_bits": bits}])
+            return pa.RecordBatch.from_pylist([{"shard": f"{path.rstrip('/')}/{name}", "documents": len(docs), "tokens": int(ends[-1]), "bytes": len(raw), "boundary_bits": 8 * boundaries}])
 
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
@@ -189,7 +198,12 @@ def write_token_shards(df: DataFrame, path: str | None = None, *, id_col: str =
 
 
 def read_token_shards(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """(id, shard, place, first_token, n_ids, ids) of every document in the manifest's shards."""
+    """(id, shard, place, first_token, n_ids, ids) of every document in the manifest's shards.
+
+    Documents are read in blocks, each block's boundaries by select; no table of
+    offsets is made.  An empty manifest has no documents; other columns of it
+    are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,13 +211,11 @@ def read_token_shards(manifest: DataFrame, *, id_col: str = "doc_id") -> DataFra
                 where, base = fs.FileSystem.from_uri(name)
                 with where.open_input_file(base) as f:
                     s = Shard(f.read())
-                ends, docs = s.ends.all(), s.doc_ids()
-                starts = np.append(0, ends[:-1])
                 for lo in range(0, s.n, 2000):
                     hi = min(lo + 2000, s.n)
-                    cut = np.append(starts[lo:hi], ends[hi - 1])
+                    cut, docs = s.cuts(lo, hi), s.doc_ids(lo, hi)
                     ids = s.ids[cut[0] : cut[-1]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi], pa.int64()), pa.array([name] * (hi - lo)), pa.array(np.arange(lo, hi)), pa.array(starts[lo:hi]), pa.array(ends[lo:hi] - starts[lo:hi]), pa.ListArray.from_arrays((cut - cut[0]).astype(np.int32), ids)], names=[id_col, "shard", "place", "first_token", "n_ids", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([name] * (hi - lo)), pa.array(np.arange(lo, hi)), pa.array(cut[:-1]), pa.array(np.diff(cut)), pa.ListArray.from_arrays((cut - cut[0]).astype(np.int32), ids)], names=[id_col, "shard", "place", "first_token", "n_ids", "ids"])
 
     names = manifest.select("shard")
     return names.repartition(max(1, names.count()), "shard").mapInArrow(run, f"`{id_col}` bigint, shard string, place bigint, first_token bigint, n_ids bigint, ids array<int>")
