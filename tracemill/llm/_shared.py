@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -13,14 +15,35 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's path under spark.checkpoint.dir; where that is unset (tests on one machine), under a temporary folder that is then set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder's path under spark.checkpoint.dir, deleted when this process ends.
+
+    Where that is unset, a local session (tests on one machine) gets a temporary
+    folder, which is then set; on a cluster it is an error, as executors can't
+    see the driver's own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        kept = spark.sparkContext.getCheckpointDir()
-        base = kept or f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
-        if not kept:
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tracemill-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 _PIECE = 1 << 21
@@ -79,8 +80,27 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+def _lower(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of all of Unicode; texts that aren't UTF-8 are left as they are."""
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    try:
+        return buffers(pc.utf8_lower(texts))
+    except pa.ArrowInvalid:
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            raw = data[a:b].tobytes()
+            try:
+                raw = pc.utf8_lower(raw.decode()).as_py().encode()
+            except UnicodeDecodeError:
+                pass
+            out.append(raw)
+        return np.frombuffer(b"".join(out), np.uint8), np.cumsum([0] + [len(x) for x in out])
+
+
 def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower case (ASCII and Latin-1 letters), without ASCII punctuation."""
+    """Lower case, without ASCII punctuation."""
+    if np.any(data >= 0xC4):  # letters beyond Latin-1, or other characters
+        data, offsets = _lower(data, offsets)
     out = _FOLD[data]
     if len(out):
         upper = np.flatnonzero(data[:-1] == 0xC3) + 1
