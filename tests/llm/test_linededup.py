@@ -12,13 +12,13 @@ def tokens(line):
     return frozenset(re.sub(r"[!-/:-@\[-`{-~]", "", line).lower().split())
 
 
-def brute(docs, threshold, least):
+def brute(docs, threshold):
     seen, out = [], []
     for i, text in docs:
         rest = []
         for line in text.split("\n"):
             s = tokens(line)
-            if len(s) >= least:
+            if s:
                 if any(len(s & t) >= threshold * len(s | t) - 1e-9 for t in seen):
                     seen.append(s)
                     continue
@@ -50,7 +50,7 @@ def test_equals_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for threshold in (0.6, 0.85):
         got = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(df, threshold=threshold).collect())
-        want = brute(docs, threshold, linededup.MIN_TOKENS)
+        want = brute(docs, threshold)
         assert got == want
         assert len(want) < len(docs)
 
@@ -64,6 +64,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert linededup.dedup_lines(no_docs).collect() == []
 
 
+def test_copies_with_short_lines_go_whole(spark):
+    text = "Les.\nthis line has some more words\nOui, non\n--"
+    rows = [(1, text), (2, text.upper()), (3, "les\nsomething else"), (4, "Oui non"), (5, "Ёлка ŁÓDŹ Ωμέγα"), (6, "ёлка łódź ωμέγα")]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: text, 2: "--", 3: "something else", 5: "Ёлка ŁÓDŹ Ωμέγα"}
+    assert sorted(got.items()) == sorted(brute(rows, 0.85))
+
+
 def test_ties_of_one_id_are_settled_by_text(spark):
     rows = [(1, "a b c d e f g\nmore words that only one text has"), (1, "a b c d e f g\nother ones which nobody else has got")]
     got = [r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]

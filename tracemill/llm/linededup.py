@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import written
+from ._shared import fresh, written
 
 THRESHOLD = 0.85
-MIN_TOKENS = 5
 BUCKET_BITS = 21
 WINDOW = 16
 LEAST_WINDOW = 8
@@ -98,13 +97,24 @@ def _prefix(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - _EPS).astype(np.int64) + 1
 
 
-def _records(docs: DataFrame, level, bits: int, threshold: float, min_tokens: int) -> DataFrame:
-    """(doc, th, line, k1, k2, size, prefix, gone) of each line of at least min_tokens distinct tokens.
+def _least(threshold: float) -> int:
+    """The size of the smallest set that a different one can be similar enough to."""
+    size = 1
+    while size < 1 << 20 and size < threshold * (size + 1) - _EPS:
+        size += 1
+    return size
 
+
+def _records(docs: DataFrame, level, bits: int, threshold: float) -> DataFrame:
+    """(doc, th, line, k1, k2, size, prefix, gone) of each line with a token.
+
+    Lines that only equal ones can be similar enough to have an empty prefix.
     Of lines with one set, all but the first in an Arrow batch are gone already:
     so a line that is everywhere reaches its window once a batch at most.
     """
 
+    least = _least(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, th = b.column(0), b.column(2).to_numpy()
@@ -114,12 +124,12 @@ def _records(docs: DataFrame, level, bits: int, threshold: float, min_tokens: in
                     continue
                 h, row, cut = _distinct(t, level.value, bits)
                 size = np.diff(cut)
-                lines = np.flatnonzero(size >= min_tokens)
+                lines = np.flatnonzero(size)
                 if not len(lines):
                     continue
                 k1, k2 = (_sums(_text.mix64(x), cut)[lines] for x in (h + np.uint64(1), h ^ np.uint64(0xA5A5A5A55A5A5A5A)))
                 text = np.searchsorted(first, lines, "right") - 1
-                p = _window(size[lines], threshold)
+                p = np.where(size[lines] >= least, _window(size[lines], threshold), 0)
                 inside = np.repeat(cut[lines] - np.cumsum(p) + p, p) + np.arange(p.sum())
                 parts.append((text + lo, lines - first[text], k1, k2, size[lines], p, (h[inside] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             if not parts:
@@ -328,20 +338,19 @@ def _line_sets(docs: DataFrame, level, bits: int) -> DataFrame:
     return docs.mapInArrow(run, f"{_LINE.format('')}, arr binary")
 
 
-def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS, bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """(doc, th, line) of each line, counted from 0, that has an earlier line of at least the threshold's Jaccard similarity.
 
     Lines are in the order of id (nulls first), text hash `th` (of 32 bits), place.
-    Lines of fewer than min_tokens distinct tokens take no part.  Rows of one id
-    and text are one document.
+    Lines without tokens take no part.  Rows of one id and text are one document.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("th", F.hash("text"))
     level = spark.sparkContext.broadcast(rarity_levels(docs, bucket_bits))
-    records = _records(docs, level, bucket_bits, threshold, min_tokens)
+    records = _records(docs, level, bucket_bits, threshold)
     at = F.rank().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
     ranked = written(records.withColumn("n", F.when(F.col("gone"), 2).otherwise(at)).select("doc", "th", "line", "size", F.when(F.col("n") == 1, F.col("prefix")).alias("prefix")), "lines")
-    needed = written(_tiles(_post(ranked.where("prefix is not null"), threshold), threshold), "needed")
+    needed = written(_tiles(_post(ranked.where("size(prefix) > 0"), threshold), threshold), "needed")
     by_text = needed.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("lines"))
     by_text = F.broadcast(by_text) if needed.count() <= BROADCAST_LINES else by_text
     sets = _line_sets(docs.join(by_text, docs["doc"].eqNullSafe(by_text["_doc"]) & (docs["th"] == by_text["_th"])).select("doc", "text", "th", "lines"), level, bucket_bits)
@@ -350,19 +359,20 @@ def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return written(ranked.where("prefix is null").select("doc", "th", "line").union(found).distinct(), "gone")
 
 
-def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with its texts' repeated lines removed; a row of whose text nothing but white space is left by that goes.
 
     A line ends at a line feed.  It is removed if any earlier line of the corpus
     (by id, nulls first, then text hash, then place), removed itself or not, has
-    a token set of at least the threshold's Jaccard similarity.  Lines of fewer
-    than min_tokens distinct tokens stay.  Null, empty and blank texts stay as
-    they are; repeated rows of one id and text are one document and stay alike;
-    other columns stay as they are, whatever their names.
+    a token set of at least the threshold's Jaccard similarity, however short it
+    is; lines without tokens stay.  Null, empty and blank texts stay as they are;
+    an empty table stays empty; repeated rows of one id and text are one document
+    and stay alike; other columns stay as they are, whatever their names.
     """
-    gone = repeated_lines(df, id_col=id_col, text_col=text_col, threshold=threshold, min_tokens=min_tokens).groupBy("doc", "th").agg(F.collect_set("line").alias("_gone")).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_gone")
+    g, d, h, c = (fresh(df, x) for x in ("gone", "doc", "th", "cut"))
+    gone = repeated_lines(df, id_col=id_col, text_col=text_col, threshold=threshold).groupBy("doc", "th").agg(F.collect_set("line").alias(g)).select(F.col("doc").alias(d), F.col("th").alias(h), g)
     text = F.col(text_col).cast("string")
-    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = df.join(gone, df[id_col].cast("bigint").eqNullSafe(gone["_doc"]) & (F.hash(text) == gone["_th"]), "left")
-    out = joined.select(*(df[c] if c != text_col else F.when(F.col("_gone").isNull(), text).otherwise(rest).alias(c) for c in df.columns), F.col("_gone").isNotNull().alias("_cut"))
-    return out.where(~F.col("_cut") | F.col(text_col).rlike(r"\S")).drop("_cut")
+    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(g, i)), "\n")
+    joined = df.join(gone, df[id_col].cast("bigint").eqNullSafe(gone[d]) & (F.hash(text) == gone[h]), "left")
+    out = joined.select(*(df[x] if x != text_col else F.when(F.col(g).isNull(), text).otherwise(rest).alias(x) for x in df.columns), F.col(g).isNotNull().alias(c))
+    return out.where(~F.col(c) | F.col(text_col).rlike(r"\S")).drop(c)

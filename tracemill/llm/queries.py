@@ -43,9 +43,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def decontam_sql(table: str = "documents") -> str:
     n = decontam.MIN_TOKENS
     return f"""
-WITH b AS (SELECT DISTINCT hash(w[p:p + {n - 1}]) AS h FROM (SELECT {_TOKENS.format("text")} AS w FROM benchmark), unnest(range(1, len(w) - {n - 2})) AS u(p)),
+WITH i AS (SELECT {_TOKENS.format("text")} AS w FROM benchmark),
+b AS (SELECT DISTINCT {n} AS n, hash(w[p:p + {n - 1}]) AS h FROM i, unnest(range(1, len(w) - {n - 2})) AS u(p) UNION SELECT len(w), hash(w) FROM i WHERE len(w) BETWEEN 1 AND {n - 1}),
+k AS (SELECT DISTINCT n FROM b),
 d AS (SELECT row_number() OVER () AS rid, *, {_TOKENS.format("text")} AS w FROM {table}),
-m AS (SELECT DISTINCT rid FROM (SELECT rid, hash(w[p:p + {n - 1}]) AS h FROM d, unnest(range(1, len(w) - {n - 2})) AS u(p)) WHERE h IN (SELECT h FROM b))
+m AS (SELECT DISTINCT rid FROM (SELECT rid, k.n, hash(w[p:p + k.n - 1]) AS h FROM d, k, unnest(range(1, len(w) - k.n + 2)) AS u(p)) JOIN b USING (n, h))
 SELECT doc_id, text, lang, source, n_chars FROM d WHERE rid NOT IN (SELECT rid FROM m)"""
 
 
@@ -144,10 +146,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linededup_sql(table: str = "documents") -> str:
-    t, m = linededup.THRESHOLD, linededup.MIN_TOKENS
+    t = linededup.THRESHOLD
     return f"""
 WITH l AS (SELECT doc_id, i AS n, line, list_sort(list_distinct({_FOLDED.format("line")})) AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {table})),
-u AS (SELECT g, len(g) AS s, min((doc_id, n)) AS f, row_number() OVER () AS k FROM l WHERE len(g) >= {m} GROUP BY g),
+u AS (SELECT g, len(g) AS s, min((doc_id, n)) AS f, row_number() OVER () AS k FROM l WHERE len(g) > 0 GROUP BY g),
 x AS (SELECT k, s, unnest(g) AS x FROM u),
 c AS (SELECT x, count(*) AS c FROM x GROUP BY x),
 q AS (SELECT k, s, x, row_number() OVER (PARTITION BY k ORDER BY c, x) AS i FROM x JOIN c USING (x)),
