@@ -43,6 +43,9 @@ def test_framing_and_digests():
 
     assert one(b"Content-Length: 3\r\nWARC-Block-Digest: sha1:AAAA", b"abc\r\n\r\n")["digest_ok"] is False
     assert one(b"Content-Length: 3\r\nWARC-Block-Digest: md5:900150983cd24fb0d6963f7d28e17f72", b"abc\r\n\r\n")["digest_ok"] is True
+    assert one(b"Content-Length: 3\r\nWARC-Block-Digest: sha1:a9993e364706816aba3e25717850c26c9cd0d89d", b"abc\r\n\r\n")["digest_ok"] is True
+    assert one(b"X: " + b"y" * 300_000 + b"\r\nContent-Length: 3", b"abc\r\n\r\n")["payload"] == b"abc"
+    assert "line ends" in one(b"Content-Length: 3", b"abc\r\n\r\n" + b"z" * 5_000_000)["error"]
     assert "digest_ok" not in one(b"Content-Length: 3", b"abc\r\n\r\n")
     assert "shorter" in one(b"Content-Length: 9", b"abc\r\n\r\n")["error"]
     assert "line ends" in one(b"Content-Length: 2", b"abc\r\n\r\n")["error"]

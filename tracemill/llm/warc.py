@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ._shared import shared_dir, written
 
 READ_BYTES = 1 << 18
-MAX_HEADER = 1 << 16
 FILE_BYTES = 64 << 20
 SCHEMA = "path string, offset bigint, record_type string, record_id string, target_uri string, content_type string, content_length bigint, payload binary, digest string, digest_ok boolean, error string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -85,13 +84,15 @@ class _Members:
 
 def _parse(content: Iterator[bytes]) -> dict:
     """A record from its member's pieces, framed by its content length."""
-    held = b""
-    while b"\r\n\r\n" not in held:
+    held, stop = bytearray(), -1
+    while stop < 0:
         piece = next(content, None)
-        if piece is None or len(held) > MAX_HEADER:
+        if piece is None:
             raise ValueError("the header doesn't end")
+        seen = max(0, len(held) - 3)
         held += piece
-    head, _, rest = held.partition(b"\r\n\r\n")
+        stop = held.find(b"\r\n\r\n", seen)
+    head, rest = bytes(held[:stop]), bytes(held[stop + 4 :])
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC version line")
@@ -109,21 +110,22 @@ def _parse(content: Iterator[bytes]) -> dict:
     if not fields.get("content-length", "").isascii() or not fields.get("content-length", "").isdigit():
         raise ValueError("no content length")
     length = int(fields["content-length"])
+    # the content length tells how much is kept; what follows it is only counted
     pieces, have = [rest], len(rest)
-    for piece in content:
+    while have < length + 4 and (piece := next(content, None)) is not None:
         pieces.append(piece)
         have += len(piece)
+    more = sum(len(piece) for piece in content)
     block = b"".join(pieces)
     out = {"record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "content_type": fields.get("content-type"), "content_length": length, "payload": block[:length], "digest": fields.get("warc-block-digest")}
     if have < length:
         out["error"] = "the block is shorter than its content length"
-    elif block[length:] != b"\r\n\r\n":
+    elif more or block[length:] != b"\r\n\r\n":
         out["error"] = "the block isn't followed by two line ends"
     kind, _, want = (out["digest"] or "").partition(":")
-    if kind.lower() == "sha1":
-        out["digest_ok"] = digest(out["payload"]) == "sha1:" + want.upper()
-    elif kind.lower() in ("sha256", "md5"):
-        h = hashlib.new(kind.lower(), out["payload"], usedforsecurity=False)
+    kind = kind.lower().replace("-", "")
+    if kind in ("sha1", "sha256", "sha512", "md5"):
+        h = hashlib.new(kind, out["payload"], usedforsecurity=False)
         out["digest_ok"] = want.lower() == h.hexdigest() or want.upper() == base64.b32encode(h.digest()).decode()
     return out
 
@@ -151,7 +153,10 @@ def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page
     A row is a `resource` record; its record id is derived from its id and its
     place.  A null body is written as an empty one of content type
     `application/x-null`, and a null id or URL is left out, so that reading
-    tells them apart.  Only files in the result count: those of attempts that
+    tells them apart.  White space and control characters of a URL are escaped
+    (`%20`), as no header line can hold them.  Repeated rows are records each;
+    texts of any length are one record; no rows make no files; other columns
+    aren't written.  Only files in the result count: those of attempts that
     failed aren't in it.
     """
     path = path or shared_dir(pages.sparkSession)
@@ -198,7 +203,7 @@ def read_warc(files: DataFrame, *, path_col: str = "path") -> DataFrame:
     """Every record of the files named in a column, in the columns of SCHEMA.
 
     A file is read by one task from its beginning, a piece at a time; only one
-    record is held.  digest_ok is null without a digest that is known.  Damaged
+    record is held, whatever the size of its header and block.  digest_ok is null without a digest that is known.  Damaged
     records are rows with an `error`; a missing file is an error of the job; an
     empty file and a table without rows have no records.  Null paths are left
     out, a path that is there twice is read twice.
