@@ -68,6 +68,13 @@ def test_scores_equal_brute_force(spark):
         assert abs(got[i] - sum(weight(t) for t in ts if t in vocabulary)) < 1e-9
 
 
+def test_repeats_count_and_long_words_are_known(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    docs = spark.createDataFrame([(1, f"{long} {long} cat")], "doc_id long, text string")
+    rows = urlfilter.url_tokens(spark.createDataFrame([(1, f"http://{long}cat.com/2021/05/x/x")], "page_id long, url string"), urlfilter.word_counts(docs)).first()
+    assert rows.host_words == [long, "cat"] and rows.tokens == [f"h:{long}", "h:cat", "p:#", "p:#", "p:x", "p:x"]
+
+
 def test_odd_rows(spark):
     docs, _, labels = tables(spark)
     pages = spark.createDataFrame([(1, None), (None, ""), (2, "no url at all"), (3, "https://" + "a" * 5000 + ".com/" + "x" * 90_000), (4, "http://catfood.org/9"), (4, "http://catfood.org/9"), (5, "http://[::1]:80/1"), (6, "//user:pw@casino.net:8080/9")], "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS tokens", "2 AS words", "3 AS score", "4 AS label")

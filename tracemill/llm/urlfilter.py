@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from . import _text
 from ._shared import small, written
 
-MAX_WORD = 24
 SMOOTHING = 1.0
 THRESHOLD = 0.0
 _URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^#]*)"
@@ -25,40 +24,45 @@ def url_host(url: Column) -> Column:
 
 
 def path_tokens(url: Column) -> Column:
-    """Distinct 'p:' tokens of path and query in lower case, digits as '#'; of all the text if it isn't a URL with a host."""
+    """'p:' tokens of path and query in lower case, repeats included, digits as '#'; of all the text if it isn't a URL with a host."""
     rest = F.when(url.rlike(_URL), F.regexp_extract(url, _URL, 2)).otherwise(F.coalesce(url, F.lit("")))
     words = F.split(F.regexp_replace(F.lower(rest), "[0-9]+", "#"), "[^\\p{L}#]+")
-    return F.transform(F.array_distinct(F.filter(words, lambda w: w != "")), lambda w: F.concat(F.lit("p:"), w))
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.concat(F.lit("p:"), w))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h, n): how often each word, by its hash, is in all the texts, in lower case without ASCII punctuation."""
+    """(h, n, chars): how often each word, by its hash, is in all the texts, in lower case without ASCII punctuation, and how long it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
+            found, long = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             data, offsets = _text.buffers(b.column(0))
             for lo, hi in _text.chunks(offsets):
-                t = _text.tokens(*_text.fold(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+                part, off = _text.fold(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                t = _text.tokens(part, off)
+                chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
                 found.append(t.hash)
-            all_ = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-            new = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])[: len(all_)])
-            yield pa.RecordBatch.from_arrays([pa.array(all_[new].view(np.int64)), pa.array(np.diff(np.append(new, len(all_))))], names=["h", "n"])
+                long.append(chars[t.end] - chars[t.start])
+            word, first, n = np.unique(np.concatenate(found), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array(np.concatenate(long)[first].astype(np.int32))], names=["h", "n", "chars"])
 
-    return docs.select(text_col).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, "h bigint, n bigint, chars int").groupBy("h").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
 
 
-def substrings(names: DataFrame) -> DataFrame:
-    """(name, i, j, h) of each name's substrings of at most MAX_WORD characters."""
+def substrings(names: DataFrame, longest: int) -> DataFrame:
+    """(name, i, j, h) of each name's substrings that are as long as the corpus's longest word at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name in b.column(0).to_pylist():
-                spans = [(i, j) for i in range(len(name)) for j in range(i + 1, min(len(name), i + MAX_WORD) + 1)]
-                data, off = _text.buffers(pa.array([name[i:j] for i, j in spans], pa.string()))
-                h = _text.hash_spans(data, off[:-1], off[1:]).view(np.int64)
-                i, j = zip(*spans)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(spans)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(h)], names=["name", "i", "j", "h"])
+                most = min(len(name), longest)
+                step = max(1, (1 << 20) // max(1, most * most))
+                for at in range(0, len(name) if most else 0, step):
+                    spans = [(i, j) for i in range(at, min(at + step, len(name))) for j in range(i + 1, min(len(name), i + most) + 1)]
+                    data, off = _text.buffers(pa.array([name[i:j] for i, j in spans], pa.string()))
+                    h = _text.hash_spans(data, off[:-1], off[1:]).view(np.int64)
+                    i, j = zip(*spans)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(spans)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(h)], names=["name", "i", "j", "h"])
 
     return names.mapInArrow(run, "name string, i int, j int, h bigint")
 
@@ -70,6 +74,9 @@ def viterbi(name: str, known: dict[tuple[int, int], int], total: float) -> list[
     of unknown characters stay together.
     """
     n, every = len(name), math.log(max(total, 2.0))
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), k in sorted(known.items(), reverse=True):
+        ends.setdefault(j, []).append((i, k))
     start = every - math.log(10)
     best = [0.0] + [math.inf] * n  # cost of the best split, and the place before its last word
     back = [0] * (n + 1)
@@ -79,9 +86,8 @@ def viterbi(name: str, known: dict[tuple[int, int], int], total: float) -> list[
             open_, begun = best[j - 1] + start, j - 1
         open_ += math.log(10)
         best[j], back[j] = open_, begun
-        for i in range(j - 1, max(-1, j - MAX_WORD - 1), -1):
-            k = known.get((i, j))
-            if k and best[i] + every - math.log(k) <= best[j]:
+        for i, k in ends.get(j, ()):
+            if best[i] + every - math.log(k) <= best[j]:
                 best[j], back[j] = best[i] + every - math.log(k), i
     out = []
     while n:
@@ -91,10 +97,10 @@ def viterbi(name: str, known: dict[tuple[int, int], int], total: float) -> list[
 
 
 def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words) of the distinct non-empty names, under the word counts (h, n)."""
-    total = float(counts.agg(F.sum("n")).first()[0] or 0)
+    """(name, words) of the distinct non-empty names, under the word counts (h, n, chars)."""
+    total, longest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double"), F.coalesce(F.max("chars"), F.lit(0))).first()
     names = written(names.where("name <> ''").distinct(), "names")
-    arcs = counts.join(substrings(names), "h").groupBy("name").agg(F.collect_list(F.struct("i", "j", "n")).alias("arcs"))
+    arcs = counts.drop("chars").join(substrings(names, longest), "h").groupBy("name").agg(F.collect_list(F.struct("i", "j", "n")).alias("arcs"))
     rows = names.join(arcs, "name", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,19 +122,19 @@ def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def url_tokens(pages: DataFrame, counts: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, url, host_words, tokens) of every row: tokens are the distinct 'h:' words of its host and 'p:' tokens of its path."""
+    """(id, url, host_words, tokens) of every row: tokens are the 'h:' words of its host and the 'p:' tokens of its path, repeats included."""
     rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("url"), url_host(F.col(url_col).cast("string")).alias("host"))
     words = written(host_words(rows, counts), "hosts").withColumnRenamed("host", "_host")
     joined = rows.join(small(words), rows["host"] == F.col("_host"), "left")
     none = F.array().cast("array<string>")
-    h = F.transform(F.array_distinct(F.coalesce("words", none)), lambda w: F.concat(F.lit("h:"), w))
+    h = F.transform(F.coalesce("words", none), lambda w: F.concat(F.lit("h:"), w))
     return joined.select(id_col, "url", F.coalesce("words", none).alias("host_words"), F.concat(h, path_tokens(F.col("url"))).alias("tokens"))
 
 
 def train(rows: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     """(token, weight) of rows (tokens, bad): the log of how much likelier each token is in bad URLs; token '' has the prior.
 
-    Counted over all rows.  Rows of a null label are left out; without rows of both classes there are no tokens.
+    Every occurrence counts, over all rows.  Rows of a null label are left out; without rows of both classes there are no tokens.
     """
     given = rows.where("bad is not null")
     n = given.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
@@ -168,7 +174,8 @@ def filter_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame, *, id_col:
     which documents are bad (quality 0 or toxic 1); doc_id gives the document of
     a page's URL, by default the first number in its path.  URLs that are null,
     empty or no URLs have no host words and are scored by what tokens they have;
-    repeated rows are scored alike; other columns are not read.
+    names and words may be of any length; repeated rows are scored alike; an
+    empty table has no rows; other columns are not read.
     """
     counts = written(word_counts(docs), "words")
     rows = _numbered(url_tokens(pages, counts, id_col=id_col, url_col=url_col))
