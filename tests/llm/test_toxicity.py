@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 
+import pyarrow as pa
 from llm.conftest import SMALL
+from pyspark.sql import functions as F
 
-from tracemill.llm import toxicity
+from tracemill.llm import _text, toxicity
 
 
 def prose(spark, n, seed):
@@ -40,6 +43,48 @@ def test_held_out_accuracy_on_documents(spark):
     assert sum(r.is_toxic and not r.toxic for r in got) / len(got) < 0.01
 
 
+def test_training_equals_plain_ftrl(spark):
+    """The update rule written out, one coordinate after the other, over words, word pairs and skip-grams."""
+    docs, labels, truth = prose(spark, 120, 5)
+    bits, alpha, beta, l1, l2 = 20, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    order = [r._id for r in docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").collect()]
+    text = {r.doc_id: r.text for r in docs.collect()}
+
+    def buckets(words):
+        """Numbers of the distinct features; a text of two words far enough apart tells a skip-gram's."""
+        out = {1 << bits}
+        for gap in (0, 1, 2, 3):
+            for i in range(len(words) - gap):
+                few = [words[i]] if gap == 0 else [words[i], *["\x01"] * (gap - 1), words[i + gap]]
+                row, at = toxicity.features(_text.tokens(*_text.buffers(pa.array([" ".join(few)]))), bits)
+                out.add(int(at[0] if gap == 0 else at[-1]))
+        return out
+
+    seen = {i: buckets(text[i].split()) for i in order}
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            w = {k: weight(k) for k in seen[i]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - truth[i]
+            for k in seen[i]:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / alpha
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    want = {k: weight(k) for k in z if weight(k)}
+    model = toxicity.train(docs, labels)
+    got = dict(zip(model.at.tolist(), model.weight.tolist()))
+    assert got.keys() == want.keys() and len(want) > 3
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.toxic_score - 1 / (1 + math.exp(-sum(want.get(k, 0.0) for k in seen[r.doc_id])))) < 1e-9
+
+
 def test_training_is_bounded_and_repeatable(spark):
     docs, labels, _ = prose(spark, 300, 3)
     a, b = (toxicity.train(docs, labels.repartition(n), max_train=100) for n in (1, 3))

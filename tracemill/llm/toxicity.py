@@ -70,7 +70,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, max_train: int = MAX_TRAIN, epochs: int = EPOCHS) -> Model:
     """A model fitted on at most max_train labelled ids: those of the smallest hashes, in their order.
 
-    Null labels and ids are left out; of an id labelled both ways the larger label counts.
+    Null labels and ids are left out; of an id labelled both ways the larger
+    label counts.  Null texts teach nothing; each row of an id that has several
+    does, in the order of id hash, id, text hash.  Without rows of both classes,
+    as in an empty table, the model is empty.  Other columns are not read.
     """
     some = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     text = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
