@@ -512,8 +512,8 @@ def encode(df: DataFrame, model: PieceModel, *, text_col: str = "text", ids_col:
     """df with the texts' ids and their number, and without the text; with decoded_col, also what the ids decode to.
 
     The ids are those of the SentencePiece library.  Null and empty texts have
-    an empty list; texts of any length are encoded whole; repeated rows alike.
-    A column of df that has a new column's name is replaced.
+    an empty list; texts of any length are encoded whole; repeated rows alike;
+    an empty table stays empty.  A column of df that has a new column's name is replaced.
     """
     new = [ids_col, count_col, *([decoded_col] if decoded_col else [])]
     kept = [c for c in df.columns if c not in new and c != text_col]
