@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tracemill.operators import context, lines, metrics, ranking, selection, tensors
@@ -91,3 +93,26 @@ def test_rules_of_the_query_and_of_trees(spark):
     assert got[1, 1].reasons == ["tree_shallow", "tree_ancestor"] and got[1, 1].mandatory and not got[1, 1].seed
     assert got[2, 4].mandatory and got[2, 4].reasons == ["query_symbol_match"] and round(got[2, 4].score, 2) == 9.01
     assert (2, 4) in {(r.request_id, r.line_no) for r in rankers.ir_ast_hybrid(df, no_prune_below=0, keep_ratio=0.1).collect()}
+
+
+def test_axes():
+    from tracemill.operators import tensors
+
+    for selector, want in (("all", [0, 1, 2, 3]), ("first", [0]), ("last", [3]), ("first-2", [0, 1]), ("last-9", [0, 1, 2, 3]), ("0,-1,0", [0, 3]), ([2, -4], [0, 2]), (1, [1])):
+        assert tensors.axis_indices(selector, 4) == want
+    for selector, size in (("all", 0), ("4", 4), ([], 3), ("", 3), (-5, 4)):
+        with pytest.raises(ValueError):
+            tensors.axis_indices(selector, size)
+    assert tensors.axis_layout(None, 2) == ("steps", "tokens") and tensors.axis_layout(None, 3, rollout=True) == ("layers", "queries", "keys")
+    assert tensors.axis_layout("h, steps t", 3) == ("heads", "steps", "tokens")
+    for given, ndim in ((None, 6), ("h h", 2), ("h", 2)):
+        with pytest.raises(ValueError):
+            tensors.axis_layout(given, ndim)
+
+
+def test_rectangular_arrays_and_wall_time(spark):
+    from tracemill.operators import arms, tensors
+
+    df = spark.createDataFrame([(1, [[1.0], [2.0]], "2026-01-01T00:00:00Z", "2026-01-01T00:01:30+00:00"), (2, [[1.0], []], "2026-01-02T00:00:00Z", "2026-01-01T00:00:00Z"), (3, [], None, "x")], "i int, r array<array<double>>, a string, b string")
+    got = {r.i: (r.x, r.y) for r in df.select("i", tensors.is_rectangular(df.r).alias("x"), arms.wall_time(df.a, df.b).alias("y")).collect()}
+    assert got == {1: (True, 90.0), 2: (False, 0.0), 3: (False, None)}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lines import evidence_blocks, split_lines
+from .lines import POSTERIOR_HARD, POSTERIOR_SPECIAL, evidence_blocks, split_lines
 from .tools import classify_output
 
 SOFT_CAP = {"source": 12, "diff": 0, "traceback": 12, "test_log": 12, "search": 16, "tree": 10, "generic": 8}
@@ -73,7 +73,7 @@ def posterior_compaction(df: DataFrame, id_col: str, *, method: str = "adaptive"
     with neighbours by kind.  The first gate that holds leaves the text whole.
     """
     kinds = classify_output(df, paths_in_command=False)
-    b = evidence_blocks(split_lines(kinds, id_col, "kind"), id_col, max_lines=max_lines)
+    b = evidence_blocks(split_lines(kinds, id_col, "kind"), id_col, max_lines=max_lines, special=POSTERIOR_SPECIAL, hard=POSTERIOR_HARD)
     by = Window.partitionBy(id_col)
     b = b.withColumns({"n": F.count("*").over(by), "size": F.col("end_line") - F.col("start_line") + 1})
     each = b.select(id_col, "block", "n", F.explode(T.term_set(F.col("text"))).alias("term"))

@@ -23,6 +23,13 @@ def follow_ups(events: DataFrame, task: str, order: str) -> DataFrame:
     return events.withColumn("follows", last).where("type = 'action'")
 
 
+def recent_context(messages: DataFrame, task: str, *order: str, text_col: str = "text", last: int = 3, each: int = 1000, most: int = 2500) -> DataFrame:
+    """`recent`: the ends of a task's last messages up to each one, a line between; messages without text are passed over."""
+    by = Window.partitionBy(task).orderBy(*order).rowsBetween(1 - last, 0)
+    ends = F.collect_list(F.right(F.col(text_col), F.lit(each))).over(by)
+    return messages.withColumn("recent", F.right(F.array_join(ends, "\n"), F.lit(most)))
+
+
 def view_switches(views: DataFrame, *by: str, order: str) -> DataFrame:
     """`switched`: whether the view's fingerprint differs from the one before; a first one is no switch."""
     before = F.lag("fingerprint").over(Window.partitionBy(*by).orderBy(order))

@@ -17,6 +17,9 @@ SPECIAL = {
     **dict.fromkeys(("search", "tree", "generic"), _PLAIN),
 }
 HARD = SPECIAL | {"source": SPECIAL["source"][:3], "traceback": _LOG[:3]}
+#: The same for what later actions compact: stricter with tracebacks, searches and trees.
+POSTERIOR_SPECIAL = SPECIAL | {"traceback": _LOG[:3], "search": ["error", "source-location"], "tree": ["error"]}
+POSTERIOR_HARD = POSTERIOR_SPECIAL | {"source": SPECIAL["source"][:3]}
 
 
 def split_lines(df: DataFrame, *id_cols: str, text_col: str = "text") -> DataFrame:
@@ -48,6 +51,12 @@ def gap_blocks(lines: DataFrame, blocks: DataFrame, *id_cols: str, max_lines: in
     return runs(lines.join(covered, [*id_cols, "line_no"], "left_anti"), *id_cols).transform(split_ranges, max_lines)
 
 
+def ends_stay(blocks: DataFrame, *id_cols: str) -> DataFrame:
+    """blocks (ids, block, is_hard) with `is_hard` of the first and the last one."""
+    by = Window.partitionBy(*id_cols)
+    return blocks.withColumn("is_hard", F.col("is_hard") | (F.col("block") == F.min("block").over(by)) | (F.col("block") == F.max("block").over(by)))
+
+
 def runs(lines: DataFrame, *id_cols: str) -> DataFrame:
     """(ids, start_line, end_line) of each run of line numbers next to each other."""
     by = Window.partitionBy(*id_cols).orderBy("line_no")
@@ -73,7 +82,7 @@ def _by_kind(table: dict[str, list[str]], kind: str = "kind"):
     return out
 
 
-def evidence_blocks(lines: DataFrame, *id_cols: str, max_lines: int = 16) -> DataFrame:
+def evidence_blocks(lines: DataFrame, *id_cols: str, max_lines: int = 16, special: dict[str, list[str]] = SPECIAL, hard: dict[str, list[str]] = HARD) -> DataFrame:
     """(ids, kind, block, start_line, end_line, reasons, is_hard) of lines (ids, kind, line_no, line).
 
     A line with a special reason is a block of its own; the others are cut into
@@ -81,15 +90,15 @@ def evidence_blocks(lines: DataFrame, *id_cols: str, max_lines: int = 16) -> Dat
     the last, have to stay.
     """
     by = Window.partitionBy(*id_cols).orderBy("line_no")
-    x = lines.withColumn("reasons", F.array_intersect(T.line_reasons(F.col("line")), _by_kind(SPECIAL)))
+    x = lines.withColumn("reasons", F.array_intersect(T.line_reasons(F.col("line")), _by_kind(special)))
     x = x.withColumn("special", F.size("reasons") > 0).withColumn("island", F.sum(F.col("special").cast("int")).over(by))
     within = Window.partitionBy(*id_cols, "island", "special").orderBy("line_no")
     x = x.withColumn("piece", F.floor((F.row_number().over(within) - 1) / max_lines))
     b = x.groupBy(*id_cols, "kind", "island", "special", "piece").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.first("reasons").alias("reasons"), F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n").alias("text"))
     order = Window.partitionBy(*id_cols).orderBy("start_line")
     b = b.withColumn("block", F.row_number().over(order) - 1).withColumn("n_blocks", F.count("*").over(Window.partitionBy(*id_cols)))
-    hard = F.arrays_overlap("reasons", _by_kind(HARD)) | F.col("block").isin(0) | (F.col("block") == F.col("n_blocks") - 1)
-    return b.select(*id_cols, "kind", "block", "start_line", "end_line", "reasons", hard.alias("is_hard"), "text")
+    stays = F.arrays_overlap("reasons", _by_kind(hard)) | F.col("block").isin(0) | (F.col("block") == F.col("n_blocks") - 1)
+    return b.select(*id_cols, "kind", "block", "start_line", "end_line", "reasons", stays.alias("is_hard"), "text")
 
 
 def block_lines(blocks: DataFrame, *id_cols: str) -> DataFrame:

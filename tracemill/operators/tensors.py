@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine
+from . import selection
 
 
 def pool_vectors(df: DataFrame, *by: str, vector: str, how: str = "mean") -> DataFrame:
@@ -115,3 +116,62 @@ def greedy_deletion(blocks: DataFrame, score, id_col: str, *, keep: int) -> Data
 
     kind = blocks.select(id_col).schema[0].dataType.simpleString()
     return blocks.groupBy(id_col).applyInPandas(run, f"{id_col} {kind}, block bigint, step bigint")
+
+
+def axis_indices(selector: str | int | list[int], size: int) -> list[int]:
+    """Sorted indices of an axis: all, first, last, first-N, last-N, numbers with commas, a list or a number; negative ones count from the end."""
+    if size <= 0:
+        raise ValueError("an axis must not be empty")
+    if isinstance(selector, str):
+        word, _, count = selector.lower().partition("-")
+        if word in ("all", "first", "last") and (count or selector.lower() == word):
+            n = size if word == "all" else int(count or 1)
+            found = list(range(max(0, size - n), size)) if word == "last" else list(range(min(size, n)))
+        else:
+            found = [int(x) for x in selector.split(",") if x]
+    else:
+        found = list(selector) if isinstance(selector, (list, tuple)) else [int(selector)]
+    found = [x + size if x < 0 else x for x in found]
+    if not found or min(found) < 0 or max(found) >= size:
+        raise ValueError("the selector is empty or out of range")
+    return sorted(set(found))
+
+
+def axis_layout(given: str | None, ndim: int, *, rollout: bool = False) -> tuple[str, ...]:
+    """The axes' names: those given, by name or alias, or the usual ones of so many dimensions."""
+    usual = ("batch", "layers", "heads", "queries", "keys") if rollout else ("batch", "layers", "heads", "steps", "tokens")
+    if given is None:
+        if not (3 if rollout else 1) <= ndim <= 5:
+            raise ValueError(f"no usual layout has {ndim} dimensions")
+        return ("layers", "queries", "keys") if rollout and ndim == 3 else usual[5 - ndim :]
+    short = {"b": "batch", "l": "layers", "layer": "layers", "h": "heads", "head": "heads", "s": "steps", "step": "steps", "t": "tokens", "token": "tokens", "q": "queries", "query": "queries", "k": "keys", "key": "keys"}
+    axes = tuple(short.get(x, x) for x in given.replace(",", " ").split())
+    if len(axes) != ndim or len(set(axes)) != ndim:
+        raise ValueError("the layout must name each dimension once")
+    return axes
+
+
+def is_rectangular(rows: Column) -> Column:
+    """Whether an array's arrays are all of one size, and there are any."""
+    return F.size(F.array_distinct(F.transform(rows, lambda r: F.size(r)))) == 1
+
+
+def with_floors(scored: DataFrame, *id_cols: str, structure: float = 0.08, seeds: int = 3, window: int = 1, local: float = 0.04) -> DataFrame:
+    """`score` of lines (ids, line_no, n_lines, score, structural), raised to a floor on structural lines, then near the best lines."""
+    x = scored.withColumn("score", F.when(F.col("structural"), F.greatest("score", F.lit(structure))).otherwise(F.col("score")))
+    order = Window.partitionBy(*id_cols).orderBy(F.desc("score"), "line_no")
+    x = x.withColumn("_seed", (F.row_number().over(order) <= seeds).cast("int"))
+    near = F.max("_seed").over(Window.partitionBy(*id_cols).orderBy("line_no").rangeBetween(-window, window)) == 1
+    return x.withColumn("score", F.when(near, F.greatest("score", F.lit(local))).otherwise(F.col("score"))).drop("_seed")
+
+
+def select_by_mode(scored: DataFrame, *id_cols: str, mode: str, top_p: float = 0.9, window: int = 1, no_prune_below: int = 20) -> DataFrame:
+    """The kept lines of (ids, line_no, n_lines, score, target): by the budget (hard_budget), with the nucleus expanded (hybrid), or as many as the nucleus has, if that is less (top_p)."""
+    core = selection.nucleus(scored, *id_cols, top_p=top_p).select(*id_cols, "line_no", F.lit(True).alias("_core"))
+    x = scored.join(core, [*id_cols, "line_no"], "left").withColumns({"mandatory": F.lit(False), "_core": F.coalesce("_core", F.lit(False))})
+    whole = F.col("n_lines") <= no_prune_below
+    x = x.withColumn("seed", F.lit(mode != "hard_budget") & F.col("_core") & ~whole)
+    if mode == "top_p":
+        n = F.count_if("_core").over(Window.partitionBy(*id_cols))
+        x = x.withColumn("target", F.when(whole, F.col("target")).otherwise(F.least(n, F.col("target"))))
+    return selection.select_lines(x, *id_cols, window=window).drop("mandatory", "seed", "_core")

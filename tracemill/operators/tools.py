@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from .lines import evidence_blocks, split_lines
+from .lines import evidence_blocks, paragraph_blocks, split_lines
 from .ranking import bm25, document_frequency, reciprocal_rank_fusion
 
 FRAME = r'^\s*at\s+.+\([^():]+:\d+(?::\d+)?\)|^\s*File\s+"[^"]+",\s+line\s+\d+'
@@ -172,7 +172,7 @@ def tree_ancestors(lines: DataFrame, hits: DataFrame, *id_cols: str) -> DataFram
 
 
 def python_definitions(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, kind, name, start_line, end_line) of functions and classes, decorators included; none for a text that isn't Python."""
+    """(id, kind, name, start_line, end_line) of functions and classes, from the line of def or class on; none for a text that isn't Python."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ast
@@ -186,14 +186,20 @@ def python_definitions(df: DataFrame, id_col: str, text_col: str = "text") -> Da
                     continue
                 for n in nodes:
                     if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                        start = min([n.lineno, *(d.lineno for d in n.decorator_list)])
-                        out.append((i, type(n).__name__, n.name, start, n.end_lineno))
+                        out.append((i, type(n).__name__, n.name, n.lineno, n.end_lineno))
             yield pd.DataFrame(out, columns=[id_col, "kind", "name", "start_line", "end_line"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, kind string, name string, start_line bigint, end_line bigint")
 
 
+def code_aware_blocks(df: DataFrame, id_col: str, text_col: str = "text", *, max_lines: int = 24) -> DataFrame:
+    """(id, start_line, end_line): a Python text's definitions, which may nest; the paragraphs of any other text."""
+    code = python_definitions(df, id_col, text_col).select(id_col, F.col("start_line").cast("int"), F.col("end_line").cast("int"))
+    rest = df.join(code.select(id_col).distinct(), id_col, "left_anti")
+    return code.union(paragraph_blocks(split_lines(rest, id_col, text_col=text_col), id_col, max_lines=max_lines).select(id_col, "start_line", "end_line"))
+
+
 def ranked_blocks(df: DataFrame, id_col: str, *, max_lines: int = 16) -> DataFrame:
     """Evidence blocks of (id, text, command, path, query) with BM25, identifier overlap, fused rank and discriminative hits."""
     kinds = classify_output(df)

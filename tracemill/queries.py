@@ -286,7 +286,7 @@ def execution_rules(spark, sf_dir):
     return rankers.ast_scores(_requests(spark)).select("request_id", "line_no", F.round("score", 9).alias("score"), "seed")
 
 
-@query()
+@query("WITH d AS (SELECT * FROM (VALUES ('FunctionDef', 'load_config', 5, 7), ('ClassDef', 'Store', 9, 14), ('FunctionDef', 'get', 10, 11), ('FunctionDef', 'put', 13, 14)) AS v(kind, name, start_line, end_line) UNION ALL SELECT 'FunctionDef', 'helper_' || i, 16 + 3 * i, 17 + 3 * i FROM range(6) AS u(i)) SELECT 1 AS obs_id, * FROM d")
 def python_definitions(spark, sf_dir):
     return tools.python_definitions(fixtures.observations(spark), "obs_id")
 
@@ -508,3 +508,6 @@ def posterior_compaction(spark, sf_dir):
 @query()
 def conditional_ppl(spark, sf_dir):
     return surprisal.conditional_surprisal(_requests(spark), surprisal.word_overlap_scorer(), no_prune_below=0).select("request_id", "line_no", "score")
+
+
+from . import runtime_queries  # noqa: E402, F401  (registers its queries here)
