@@ -54,3 +54,36 @@ def test_training_rows(spark):
     assert got["a"].gold == [2, 3] and got["b"].gold == [2, 3] and got["b"].text == "p\n q \nr" and got["b"].query == ""
     with pytest.raises(Exception, match="differ in number"):
         files.convert_training_rows(df.selectExpr("sample_id", "code", "document", "query", "labels", "array(1) AS line_keep_labels", "kept_frags")).collect()
+
+
+def test_matrix_and_run_times(spark, tmp_path):
+    for budget, kept, found in (("0.7", 0.7, 1.0), ("0.5", 0.5, 0.9), ("0.6", 0.6, 0.8), ("all", None, 1.0)):
+        (tmp_path / "m" / f"keep_{budget}").mkdir(parents=True)
+        (tmp_path / "m" / f"keep_{budget}" / "summary.json").write_text(json.dumps({"method": "ir", "samples": 3, "estimated_token_retention_ratio": kept, "macro_required_line_recall": found, "latency_ms": {"mean": 2.5}}, indent=1))
+    files.write_matrix(spark, str(tmp_path / "m"))
+    got = {r.budget: (r.pareto, r.latency_mean_ms) for r in spark.read.schema("budget string, pareto boolean, latency_mean_ms double").json(str(tmp_path / "m" / "matrix_json")).collect()}
+    assert got == {"0.7": (True, 2.5), "0.5": (True, 2.5), "0.6": (False, 2.5), "all": (None, 2.5)}
+    for arm, times in (("a", ("2026-01-01T00:00:00Z\n", "2026-01-01T00:00:07Z\n", "0\n")), ("b", ("2026-01-01T00:00:00Z",))):
+        (tmp_path / "r" / arm).mkdir(parents=True)
+        for name, text in zip(("started_at", "ended_at", "exit_code"), times):
+            (tmp_path / "r" / arm / name).write_text(text)
+    assert {tuple(r) for r in files.read_run_times(spark, str(tmp_path / "r")).collect()} == {("a", 0, 7.0), ("b", None, None)}
+
+
+def test_rows_are_numbered_in_their_order(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps({"text": f"t{i}"}) + "\n" for i in range(50)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        x = files.read_requests(spark, str(tmp_path / "x.jsonl"))
+        assert x.rdd.getNumPartitions() > 1
+        assert {r.text: r.request_id for r in x.collect()} == {f"t{i}": f"row-{i}" for i in range(50)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rankers_by_alias():
+    from tracemill.plans import rankers
+
+    assert rankers.ranker(" AST ") is rankers.execution_ast and rankers.ranker("ir-ast-hybrid") is rankers.ir_ast_hybrid
+    with pytest.raises(ValueError):
+        rankers.ranker("none")

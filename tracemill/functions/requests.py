@@ -155,10 +155,10 @@ def count_value(payload: Column, *keys: str) -> Column:
     return out
 
 
-def pruning_stats(message: Column) -> Column:
-    """The JSON of a message's pruning statistics: its own, those of a fork (nested ones first), or those under extra."""
+def pruning_stats(message: Column, key: str = "pruning") -> Column:
+    """The JSON of a message's pruning statistics under a key: its own, those of a fork (nested ones first), or those under extra."""
     at = lambda path: F.when(F.get_json_object(message, path).startswith("{"), F.get_json_object(message, path))
-    return F.coalesce(at("$.zero_forward_pruning"), at("$.pruned_stats.zero_forward_pruning"), at("$.pruned_stats"), at("$.extra.zero_forward_pruning"))
+    return F.coalesce(at(f"$.{key}"), at(f"$.pruned_stats.{key}"), at("$.pruned_stats"), at(f"$.extra.{key}"))
 
 
 def prediction_ids(predictions: Column) -> Column:

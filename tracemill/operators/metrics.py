@@ -41,16 +41,24 @@ def summarize(metrics: DataFrame, by: str) -> DataFrame:
 
 
 def pareto(df: DataFrame, cost: str, gain: str) -> DataFrame:
-    """`pareto`: whether no other row has at most the cost and at least the gain, and one of them strictly.
+    """`pareto`: whether no other row has at most the cost and at least the gain, and one of them strictly; null where either is.
 
     Sorted by cost, a row is dominated if an earlier cost has at least its gain
-    or an equal cost has more: one window over the distinct costs instead of a join of
-    all pairs.
+    or an equal cost has more.  The distinct costs are cut into ranges, so that
+    no task has to sort them all: each range needs the best gain of those before
+    it, and a window within.
     """
-    by_cost = df.groupBy(cost).agg(F.max(gain).alias("_best"))
-    best = by_cost.withColumn("_cheaper", F.max("_best").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)))
-    x = df.join(best, cost)
-    return x.withColumn("pareto", (F.col(gain) >= F.col("_best")) & (F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col(gain)))).drop("_best", "_cheaper")
+    by_cost = df.where(F.col(cost).isNotNull() & F.col(gain).isNotNull()).groupBy(cost).agg(F.max(gain).alias("_best"))
+    bounds = df.select(F.col(cost).cast("double").alias("_c")).approxQuantile("_c", [k / 64 for k in range(1, 64)], 0.005)
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col(cost).cast("double"))) if bounds else F.lit(0)
+    by_cost = by_cost.withColumn("_part", part)
+    tops = by_cost.groupBy("_part").agg(F.max("_best").alias("_top"))
+    before = tops.select("_part").join(tops.select(F.col("_part").alias("_p"), "_top"), F.col("_p") < F.col("_part")).groupBy("_part").agg(F.max("_top").alias("_before"))
+    own = F.max("_best").over(Window.partitionBy("_part").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    best = by_cost.join(F.broadcast(before), "_part", "left").select(cost, "_best", F.greatest(own, "_before").alias("_cheaper"))
+    x = df.join(best, cost, "left")
+    fine = (F.col(gain) >= F.col("_best")) & (F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col(gain)))
+    return x.withColumn("pareto", F.when(F.col(cost).isNotNull() & F.col(gain).isNotNull(), fine)).drop("_best", "_cheaper")
 
 
 def percentiles(df: DataFrame, by: str, value: str, qs: dict[str, float]) -> DataFrame:

@@ -77,6 +77,37 @@ def render_skeleton(kept: DataFrame, *id_cols: str, numbers: bool = True) -> Dat
     return x.groupBy(*id_cols).agg(F.when(tail > 0, F.concat(body, F.lit("\n"), marker(tail))).otherwise(body).alias("rendered"))
 
 
+def render_omissions(lines: DataFrame, *id_cols: str, label: str = "context") -> DataFrame:
+    """(ids, body) of lines (ids, line_no, line, keep): what is left out is told as `... [LABEL omitted lines A-B] ...`."""
+    by = Window.partitionBy(*id_cols).orderBy("line_no")
+    left = F.min(F.when(F.col("keep"), F.col("line_no"))).over(by.rowsBetween(1, Window.unboundedFollowing))
+    last = F.max("line_no").over(Window.partitionBy(*id_cols))
+    first = F.coalesce(F.lag("keep").over(by), F.lit(True))
+    x = lines.withColumns({"_first": first, "_end": F.coalesce(left - 1, last)})
+    number = lambda c: F.col(c).cast("string")
+    what = F.when(F.col("line_no") == F.col("_end"), F.concat(F.lit("line "), number("line_no"))).otherwise(F.concat(F.lit("lines "), number("line_no"), F.lit("-"), number("_end")))
+    text = F.when(F.col("keep"), F.col("line")).when(F.col("_first"), F.concat(F.lit(f"... [{label} omitted "), what, F.lit("] ...")))
+    parts = F.collect_list(F.when(text.isNotNull(), F.struct("line_no", text.alias("t"))))
+    return x.groupBy(*id_cols).agg(F.array_join(F.array_sort(parts)["t"], "\n").alias("body"))
+
+
+def render_compacted(lines: DataFrame, id_col: str, *, raw_id: Column, url: Column, label: str = "compaction") -> DataFrame:
+    """(id, rendered) of lines (id, line_no, line, keep) under a header that tells how to get the whole text back."""
+    n = lines.groupBy(id_col).agg(F.count_if("keep").alias("kept"), F.count("*").alias("n"))
+    path = F.concat(F.lit(f"/tmp/{label}-"), raw_id, F.lit(".txt"))
+    head = F.concat(F.lit(f'<{label} kept_lines="'), F.col("kept").cast("string"), F.lit('" original_lines="'), F.col("n").cast("string"), F.lit('" raw_id="'), raw_id, F.lit('">\nFetch the whole text only if what is left out is needed, and without printing it:\ncurl -fsS \''), url, F.lit("' -o '"), path, F.lit(f"'\nSearch it with rg -n, read some 50 lines at a time with sed -n.\n</{label}>\n"))
+    return render_omissions(lines, id_col, label=label).join(n, id_col).select(id_col, F.concat(head, F.col("body")).alias("rendered"))
+
+
+def render_posterior(lines: DataFrame, commands: DataFrame, id_col: str, *, label: str = "history") -> DataFrame:
+    """(id, rendered) of lines (id, line_no, line, keep) under a header with the follow-up's command (id, command), its white space single and 240 characters at most."""
+    n = lines.groupBy(id_col).agg(F.count_if("keep").alias("kept"), F.count("*").alias("n"))
+    command = F.left(F.btrim(F.regexp_replace(F.coalesce("command", F.lit("")), r"\s+", " ")), F.lit(240))
+    asked = F.when(command != "", F.concat(F.lit(": "), command)).otherwise("")
+    head = F.concat(F.lit(f'<{label} kept_lines="'), F.col("kept").cast("string"), F.lit('" original_lines="'), F.col("n").cast("string"), F.lit('">\nThis older text was shown whole before the next action; what is left was chosen by that action'), asked, F.lit(f".\n</{label}>\n"))
+    return render_omissions(lines, id_col, label=label).join(n, id_col).join(commands.select(id_col, "command"), id_col, "left").select(id_col, F.concat(head, F.col("body")).alias("rendered"))
+
+
 def read_range(lines: DataFrame, *id_cols: str, start: int = 1, end: int | None = None) -> DataFrame:
     """(ids, text) of lines start to end, both included."""
     some = lines.where(F.col("line_no") >= start)

@@ -65,3 +65,13 @@ def ir_ast_hybrid(requests: DataFrame, *, ir_weight: float = 0.55, **budget) ->
 
 
 RANKERS = {"ir_structural": ir_structural, "execution_ast": execution_ast, "ir_ast_hybrid": ir_ast_hybrid}
+ALIASES = {"ir": "ir_structural", "ast": "execution_ast", "hybrid": "ir_ast_hybrid"}
+
+
+def ranker(name: str):
+    """A ranker by name or alias; case, blanks around and hyphens don't matter."""
+    name = name.strip().lower().replace("-", "_")
+    name = ALIASES.get(name, name)
+    if name not in RANKERS:
+        raise ValueError(f"unknown ranker {name!r}; there are: {', '.join(RANKERS)}")
+    return RANKERS[name]

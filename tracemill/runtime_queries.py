@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import requests as R
-from .operators import arms, context, lines, policies, selection, tensors, tools
-from .queries import OBS_LINES, _sql_reasons, query, table
+from .functions import text as T
+from .operators import arms, codecs, context, lines, policies, selection, tensors, tools
+from .queries import LINES, OBS_LINES, _sql_reasons, doc_lines, query, table
 
 NAMES = ["cat", "Git-Diff", " LS ", "rg", "pytest", "read file", "tree", "unknown tool", "generic", "traceback"]
 COMMANDS = ["cat src/{s}.py", "grep -n 'x' lib/a.{l}.ts", "git diff (HEAD)", "python -m unittest", "tree src", "", "show stack trace", 'sed -n 1p "pkg/m.go"', "curl http://h/raw/1 -o f", "ls -la", "make", "view file [a.rs]"]
@@ -97,7 +98,7 @@ def message_fields(spark, sf_dir):
     c = F.col("p_partkey")
     number = lambda x: F.replace(x, F.lit("#"), c.cast("string"))
     payload = number(_pick(['{"n":#.7}', '{"n":true,"m":[1,2,3]}', '{"n":"12","m":4}', '{"m":[]}', "{}"], c))
-    message = _pick(['{"zero_forward_pruning":{"left":1},"pruned_stats":{"left":9}}', '{"zero_forward_pruning":7,"pruned_stats":{"zero_forward_pruning":{"left":2}}}', '{"pruned_stats":{"left":3}}', '{"extra":{"zero_forward_pruning":{"left":4}}}', "{}"], c)
+    message = _pick(['{"pruning":{"left":1},"pruned_stats":{"left":9}}', '{"pruning":7,"pruned_stats":{"pruning":{"left":2}}}', '{"pruned_stats":{"left":3}}', '{"extra":{"pruning":{"left":4}}}', "{}"], c)
     predictions = number(_pick(['{"k":{"instance_id":"a-#"},"b":{"model":1},"z":{"instance_id":"","task_id":"t"}}', "[]"], c))
     anchors = F.array(F.when(c % 2 == 0, (c + 2).cast("string")).otherwise("x"), F.lit("2"), F.lit("2"), F.lit("1.5"))
     return table(spark, sf_dir, "part").select("p_partkey", R.count_value(payload, "n", "m").alias("n"), R.pruning_stats(message).alias("stats"), F.coalesce(F.array_join(R.prediction_ids(predictions), ","), F.lit("")).alias("ids"), F.array_join(R.anchor_lines(anchors), ",").alias("anchors"))
@@ -204,3 +205,56 @@ SELECT 1 AS obs_id, start_line::BIGINT AS start_line, end_line::BIGINT AS end_li
 def code_aware_blocks(spark, sf_dir):
     got = tools.code_aware_blocks(fixtures.observations(spark), "obs_id")
     return got.select("obs_id", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+
+
+_MARKED = """k AS (SELECT *, coalesce(lag(keep) OVER w, true) AS fst, coalesce(min(line_no) FILTER (keep) OVER (PARTITION BY {by} ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, max(line_no) OVER (PARTITION BY {by})) AS fin FROM {of} WINDOW w AS (PARTITION BY {by} ORDER BY line_no)),
+m AS (SELECT {by}, string_agg(CASE WHEN keep THEN line ELSE '... [{label} omitted ' || CASE WHEN fin = line_no THEN 'line ' || line_no ELSE 'lines ' || line_no || '-' || fin END || '] ...' END, chr(10) ORDER BY line_no) AS body FROM k WHERE keep OR fst GROUP BY {by})"""
+
+
+@query(f"""WITH {LINES}, x AS (SELECT *, line_no % 3 = 1 AS keep FROM lines), {_MARKED.format(by="doc_id", of="x", label="compaction")}, n AS (SELECT doc_id, count(*) FILTER (keep) AS kept, count(*) AS n FROM x GROUP BY 1)
+SELECT doc_id, '<compaction kept_lines="' || kept || '" original_lines="' || n || '" raw_id="r' || doc_id || '">' || chr(10) || 'Fetch the whole text only if what is left out is needed, and without printing it:' || chr(10) || 'curl -fsS ' || chr(39) || 'http://h/raw/r' || doc_id || chr(39) || ' -o ' || chr(39) || '/tmp/compaction-r' || doc_id || '.txt' || chr(39) || chr(10)
+|| 'Search it with rg -n, read some 50 lines at a time with sed -n.' || chr(10) || '</compaction>' || chr(10) || body AS rendered FROM m JOIN n USING (doc_id)""")
+def render_compacted(spark, sf_dir):
+    x = doc_lines(spark, sf_dir).withColumn("keep", F.col("line_no") % 3 == 1)
+    raw = F.concat(F.lit("r"), F.col("doc_id").cast("string"))
+    return selection.render_compacted(x, "doc_id", raw_id=raw, url=F.concat(F.lit("http://h/raw/"), raw))
+
+
+@query(f"""WITH {LINES}, x AS (SELECT *, line_no % 4 = 2 AS keep FROM lines), {_MARKED.format(by="doc_id", of="x", label="history")}, n AS (SELECT doc_id, count(*) FILTER (keep) AS kept, count(*) AS n FROM x GROUP BY 1)
+SELECT doc_id, '<history kept_lines="' || kept || '" original_lines="' || n || '">' || chr(10) || 'This older text was shown whole before the next action; what is left was chosen by that action' || CASE WHEN doc_id % 2 = 0 THEN ': sed -n ' || source ELSE '' END || '.' || chr(10) || '</history>' || chr(10) || body AS rendered FROM m JOIN n USING (doc_id) JOIN documents USING (doc_id)""")
+def render_posterior(spark, sf_dir):
+    command = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  sed   -n\n"), "source"))
+    return selection.render_posterior(doc_lines(spark, sf_dir).withColumn("keep", F.col("line_no") % 4 == 2), table(spark, sf_dir, "documents").select("doc_id", command.alias("command")), "doc_id")
+
+
+_KINDS = ["source", "diff", "traceback", "test_log", "search", "tree", "generic"]
+_TERMS = "[y FOR y IN list_distinct([lower(x) FOR x IN regexp_extract_all({}, '[A-Za-z_][A-Za-z0-9_.:/-]*|\\d+')]) IF length(y) > 1 AND NOT regexp_matches(y, '^\\d+$') AND y NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")]"
+_PROXY = "greatest(len(regexp_extract_all({0}, '[A-Za-z_][A-Za-z0-9_./:-]*|\\d+|[^\\p{{L}}\\p{{N}}_\\s]')), CAST(ceil(length(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')) / 4.0) AS BIGINT) + length({0}) - length(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g')))"
+
+
+@query(f"""WITH {LINES}, g AS (SELECT * FROM (VALUES ('source', 'source_structure', 1, ['structure', 'error', 'source-location'], ['structure', 'error'], false), ('diff', 'diff_full', 0, [], [], false), ('traceback', 'traceback_frames', 2, ['error', 'trace-frame', 'source-location'], ['error', 'trace-frame'], false),
+('test_log', 'test_failures', 2, ['error', 'trace-frame', 'source-location', 'test-failure'], ['error', 'trace-frame', 'test-failure'], false), ('search', 'search_hits', 0, [], ['error'], true), ('tree', 'tree_paths', 0, [], ['error'], true), ('generic', 'generic_evidence', 1, ['error', 'source-location', 'test-failure'], ['error', 'test-failure'], false)) AS v(kind, codec, radius, sp, md, one)),
+o AS (SELECT doc_id, text, g.* FROM documents JOIN g ON kind = {_sql_list(_KINDS)}[doc_id % 7 + 1]),
+a AS (SELECT l.*, kind, md, radius, one OR len(list_intersect({_sql_reasons("line")}, sp)) > 0 AS special, {_sql_reasons("line")} AS r FROM lines l JOIN o USING (doc_id) WHERE kind <> 'diff'),
+i AS (SELECT *, sum(special::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM a), p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island, special ORDER BY line_no) - 1) // 16 AS piece FROM i),
+b AS (SELECT doc_id, radius, any_value(md) AS md, min(line_no) AS s, max(line_no) AS e, string_agg(line, chr(10) ORDER BY line_no) AS text, flatten(list(r)) AS r FROM p GROUP BY doc_id, radius, island, special, piece),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS unit, count(*) OVER (PARTITION BY doc_id) AS n FROM b), v AS (SELECT *, len(list_intersect(r, md)) > 0 OR unit IN (0, n - 1) AS must FROM u),
+t AS (SELECT doc_id, unit, n, unnest({_TERMS.format("text")}) AS term FROM u), d AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df FROM t),
+q AS (SELECT doc_id, unnest({_TERMS.format("b.text")}) AS term FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+h AS (SELECT doc_id, unit, term FROM d JOIN q USING (doc_id, term) WHERE df <= greatest(2, ceil(n * 0.1))), c AS (SELECT doc_id, unit, count(*)::DOUBLE AS score FROM h GROUP BY 1, 2),
+told AS (SELECT doc_id, ' Matched signals: ' || array_to_string(list_sort(list(DISTINCT term))[1:12], ', ') || '.' AS told FROM h GROUP BY 1),
+w AS (SELECT v.*, coalesce(score, 0) AS score, EXISTS (SELECT 1 FROM c WHERE c.doc_id = v.doc_id AND abs(c.unit - v.unit) <= radius) AS near FROM v LEFT JOIN c USING (doc_id, unit)),
+f AS (SELECT doc_id, 1 AS level, s, e, score, must AS keep FROM w UNION ALL SELECT doc_id, 2, s, e, score, must OR near FROM w WHERE doc_id IN (SELECT doc_id FROM c)),
+rel AS (SELECT doc_id, level, coalesce(sum(score) FILTER (keep), 0) AS relevance FROM f GROUP BY 1, 2), x AS (SELECT l.doc_id, level, l.line_no, line, keep FROM f JOIN lines l ON l.doc_id = f.doc_id AND l.line_no BETWEEN s AND e),
+{_MARKED.format(by="doc_id, level", of="x", label="context")},
+y AS (SELECT doc_id, level, '<context_view observation_id="' || doc_id || '" level="' || CASE level WHEN 1 THEN 'skeleton' ELSE 'focused' END || '" codec="' || codec || '">' || chr(10) || 'This is a reversible view of an older tool observation.' || coalesce(told, '') || chr(10) || '</context_view>' || chr(10) || body AS content, relevance FROM m JOIN rel USING (doc_id, level) JOIN o USING (doc_id) LEFT JOIN told USING (doc_id)
+UNION ALL SELECT doc_id, 0, '<observation_reference id="' || doc_id || '" kind="' || kind || '">' || chr(10) || 'Older tool output archived with ' || n_lines || ' visible lines. Use memory.search or memory.read with observation id ' || doc_id || ' to inspect it.' || chr(10) || '</observation_reference>', 0 FROM o JOIN (SELECT DISTINCT doc_id, n_lines FROM lines) USING (doc_id) WHERE kind <> 'diff'),
+z AS (SELECT y.* FROM y JOIN documents USING (doc_id) WHERE length(content) < length(text) UNION ALL SELECT doc_id, 3, text, 0 FROM documents)
+SELECT doc_id, level::INT AS level, md5(content) AS content, {_PROXY.format("content")} AS tokens, relevance::DOUBLE AS relevance FROM z""")
+def typed_views(spark, sf_dir):
+    """All views of all documents, each taken for an observation of one of the seven kinds."""
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    n = bench.count()
+    signals = docs.select("doc_id", (F.col("doc_id") % n).alias("item_id")).join(bench.select("item_id", F.explode(T.term_set(F.col("text"))).alias("term")), "item_id").select("doc_id", "term", F.lit(1.0).alias("weight"))
+    got = codecs.typed_views(docs.withColumn("kind", _pick(_KINDS, F.col("doc_id"))), signals, "doc_id")
+    return got.select("doc_id", "level", F.md5("content").alias("content"), "tokens", "relevance")

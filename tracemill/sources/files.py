@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as X
 
 from ..functions import text as T
+from ..operators.arms import wall_time
+from ..operators.metrics import pareto
 
 BUDGET = "struct<keep_ratio:double,min_lines:int,max_lines:int,no_prune_below:int,context_window:int>"
 REQUEST = f"request_id string, text string, query string, tool_type string, path string, recent_context array<string>, budget {BUDGET}, metadata map<string,string>"
@@ -21,7 +23,12 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     schema = X._parse_datatype_string(f"{REQUEST}, request struct<{_colons(REQUEST)}>, gold_line_numbers array<int>, important_line_numbers array<int>, answer_line_numbers array<int>, required_line_numbers array<int>, _bad string")
     raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
     x = raw.withColumn("text", F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: not an object: "), F.col("_bad")))).otherwise(F.coalesce("request.text", "text")))
-    x = x.select(*(F.col(n) if n == "text" else F.coalesce(f"request.{n}", n).alias(n) for n in names), "gold_line_numbers", "important_line_numbers", "answer_line_numbers", "required_line_numbers", F.monotonically_increasing_id().alias("_i"))
+    x = x.select(*(F.col(n) if n == "text" else F.coalesce(f"request.{n}", n).alias(n) for n in names), "gold_line_numbers", "important_line_numbers", "answer_line_numbers", "required_line_numbers", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    # rows are numbered in the files' order: by what all partitions before have, and the place within
+    sizes = {r["_p"]: r["n"] for r in x.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    begin = {p: sum(n for q, n in sizes.items() if q < p) for p in sizes}
+    begun = F.element_at(F.create_map(*(F.lit(v) for kv in begin.items() for v in kv)), F.col("_p")) if begin else F.lit(0)
+    x = x.withColumn("_i", begun + F.col("_m").bitwiseAND((1 << 33) - 1))
     d = F.col("budget")
     filled = F.struct(F.coalesce(d["keep_ratio"], F.lit(0.5)).alias("keep_ratio"), F.coalesce(d["min_lines"], F.lit(1)).alias("min_lines"), d["max_lines"].alias("max_lines"), F.coalesce(d["no_prune_below"], F.lit(20)).alias("no_prune_below"), F.coalesce(d["context_window"], F.lit(1)).alias("context_window"))
     none = F.array().cast("array<int>")
@@ -77,6 +84,31 @@ def write_replay(results: DataFrame, metrics: DataFrame, summary: DataFrame, pat
     summary.write.mode("overwrite").option("header", True).csv(f"{path}/summary_csv")
 
 
+def read_matrix(spark: SparkSession, root: str) -> DataFrame:
+    """(budget, method, samples, measures ...) of the summaries in `keep_*` folders below root; the budget is the folder's."""
+    names = ["retention_ratio", "estimated_token_retention_ratio", "macro_line_recall", "macro_line_f1", "macro_required_line_recall", "critical_miss_rate"]
+    schema = f"method string, samples bigint, {', '.join(f'{n} double' for n in names)}, latency_ms struct<mean:double,p95:double>, model_forward_count bigint"
+    raw = spark.read.schema(schema).option("multiLine", True).json(f"{root.rstrip('/')}/keep_*/summary.json")
+    budget = F.regexp_extract(F.input_file_name(), r"/keep_([^/]+)/", 1)
+    return raw.select(budget.alias("budget"), "method", "samples", *names, F.col("latency_ms.mean").alias("latency_mean_ms"), F.col("latency_ms.p95").alias("latency_p95_ms"), "model_forward_count")
+
+
+def write_matrix(spark: SparkSession, root: str) -> DataFrame:
+    """The matrix with `pareto` (fewest tokens kept against most required lines found), written as JSON and CSV folders below root."""
+    marked = pareto(read_matrix(spark, root), "estimated_token_retention_ratio", "macro_required_line_recall")
+    marked.coalesce(1).write.mode("overwrite").json(f"{root}/matrix_json")
+    marked.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/matrix_csv")
+    return marked
+
+
+def read_run_times(spark: SparkSession, root: str) -> DataFrame:
+    """(arm, exit_code, wall_time_seconds) of the folders below root, by their files started_at, ended_at and exit_code; null without them."""
+    raw = spark.read.text(f"{root.rstrip('/')}/*/{{started_at,ended_at,exit_code}}", wholetext=True)
+    parts = raw.select(F.regexp_extract(F.input_file_name(), r"/([^/]+)/([^/]+)$", 1).alias("arm"), F.regexp_extract(F.input_file_name(), r"/([^/]+)/([^/]+)$", 2).alias("what"), F.trim(F.regexp_replace("value", r"\s+$", "")).alias("value"))
+    x = parts.groupBy("arm").agg(*(F.max(F.when(F.col("what") == w, F.col("value"))).alias(w) for w in ("started_at", "ended_at", "exit_code")))
+    return x.select("arm", F.col("exit_code").try_cast("int").alias("exit_code"), wall_time(F.col("started_at"), F.col("ended_at")).alias("wall_time_seconds"))
+
+
 def save_raw(df: DataFrame, path: str, *, text_col: str = "text", most: int = 64 << 20) -> DataFrame:
     """Append (raw_id, created_at, text) to a store; ids come from the texts, longer ones than `most` bytes fail the job."""
     size = F.octet_length(text_col)
