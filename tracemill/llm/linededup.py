@@ -12,6 +12,7 @@ whole sets of the lines that still have a partner, and Jaccard decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ LEAST_WINDOW = 8
 #: A list of at most so many line numbers is broadcast (4 bytes each, and some 40 a text); a longer one is joined by shuffling the texts.
 BROADCAST_LINES = 4_000_000
 _PAIRS = 1 << 20
+#: Lines that a task posts in one go, and postings that a part of the tokens has on average.
+_POSTED = 1 << 17
+_PART = 1 << 19
 _EPS = 1e-9
 _NULL = -(1 << 63)
 _HEAD = 5
@@ -148,21 +152,23 @@ def _records(docs: DataFrame, level, bits: int, threshold: float) -> DataFrame:
     return docs.mapInArrow(run, f"{_LINE.format('')}, k1 bigint, k2 bigint, size int, prefix array<int>, gone boolean")
 
 
-def _binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a binary array."""
-    _, off, data = col.buffers()
-    off = np.frombuffer(off, np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
-
-
 class _Lines:
-    """Lines of one or more tiles, as the filters see them: sizes, the token's position, and the prefix's first ids."""
+    """Lines of one or more tiles, as the filters see them: sizes, the token's position, and the first ids.
+
+    low: the low halves of the first WINDOW ids that tell a line; high: the high
+    ones of those before the token.  A common token before the tile's is before
+    it in both lines, so for these whole ids are compared; where halves decide,
+    two ids that look alike weaken a filter only.
+    """
 
-    def __init__(self, size: np.ndarray, pos: np.ndarray, windows: np.ndarray, threshold: float) -> None:
+    def __init__(self, size: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> None:
         self.size, self.pos, self.threshold = size.astype(np.int64), pos.astype(np.int64), threshold
         self.seen = np.minimum(_window(self.size, threshold), WINDOW)
-        self.window = np.zeros((len(size), WINDOW), np.int32)
-        self.window[np.arange(WINDOW) < self.seen[:, None]] = windows
+        slot = np.arange(WINDOW)
+        self.low = np.zeros((len(size), WINDOW), np.uint16)
+        self.low[slot < self.seen[:, None]] = low
+        self.high = np.full((len(size), WINDOW), -1, np.int32)
+        self.high[slot < np.minimum(self.pos, self.seen)[:, None]] = high
 
     def allow(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs may be similar enough and have the tile's token as their first common one."""
@@ -173,10 +179,14 @@ class _Lines:
         for lo in range(0, len(some), _PAIRS // 8):
             at = some[lo : lo + _PAIRS // 8]
             x, y = i[at], j[at]
-            common = (self.window[x][:, :, None] == self.window[y][:, None, :]).any(2) & (np.arange(WINDOW) < self.seen[x][:, None])
+            same = self.low[x][:, :, None] == self.low[y][:, None, :]
+            common = same.any(2) & (np.arange(WINDOW) < self.seen[x][:, None])
             most = common.sum(1) + np.maximum(size[x] - self.seen[x], size[y] - self.seen[y])
-            early = (common & (np.arange(WINDOW) < pos[x][:, None])).any(1)
-            ok[at] = (most >= need[at]) & ~early
+            fine = most >= need[at]
+            late = np.flatnonzero(fine & (pos[x] > 0) & (pos[y] > 0))
+            h = self.high[x[late]]
+            fine[late] = ~(same[late] & (h[:, :, None] == self.high[y[late]][:, None, :]) & (h >= 0)[:, :, None]).any((1, 2))
+            ok[at] = fine
         return ok
 
 
@@ -185,59 +195,92 @@ def _window(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(_prefix(size, threshold), np.minimum(size, LEAST_WINDOW))
 
 
-def _post(ranked: DataFrame, threshold: float) -> DataFrame:
-    """(token, line): each line under each token of its prefix, packed into words of 32 bits.
+def _inside(count: np.ndarray) -> np.ndarray:
+    """0 to count - 1 for each count."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
-    These are the document (two), the text hash, the line number, the size with
-    the position in its last byte (255 and more as 255, which weakens filters
-    only), and the prefix's first ids.
+
+def _post(ranked: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(part, tokens, heads, low, high): each line under each token of its prefix, packed, a row for some lines of one part of the tokens.
+
+    A head is the document (two words of 32 bits), the text hash, the line
+    number, and the size with the position in its last byte (255 and more as
+    255, which weakens filters only).  low and high are the ids' halves that
+    _Lines needs.
     """
+    names = ["part", "tokens", "heads", "low", "high"]
+
+    def packed(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        doc, th, line, size = (t.column(k).chunk(0) for k in range(4))
+        prefix = t.column(4).chunk(0)
+        doc, th, line, size = doc.fill_null(_NULL).to_numpy(), th.to_numpy(), line.to_numpy(), size.to_numpy().astype(np.int64)
+        known = prefix.value_lengths().to_numpy().astype(np.int64)
+        first, ids = np.cumsum(known) - known, prefix.flatten().to_numpy()
+        count = _prefix(size, threshold)
+        row, pos = np.repeat(np.arange(len(count)), count), _inside(count)
+        token = ids[first[row] + pos]
+        part = ((token.view(np.uint32).astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        row, pos, token, part = row[order], pos[order], token[order], part[order]
+        pos = np.minimum(pos, 255)
+        head = np.empty((len(row), _HEAD), np.int32)
+        for k, x in enumerate((doc[row] >> 32, doc[row] & 0xFFFFFFFF, th[row], line[row], (size[row] << 8) | pos)):
+            head[:, k] = x.astype(np.int64).astype(np.uint32).view(np.int32)
+        seen = np.minimum(known, WINDOW)[row]
+        before = np.minimum(pos, seen)
+        words = ids.view(np.uint32)
+        low = (words[np.repeat(first[row], seen) + _inside(seen)] & 0xFFFF).astype(np.uint16)
+        high = (words[np.repeat(first[row], before) + _inside(before)] >> 16).astype(np.uint16)
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        cut = np.append(begin, len(part))
+        at_low, at_high = (np.append(0, np.cumsum(x))[cut] for x in (seen, before))
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), at_low[:-1].tolist(), at_low[1:].tolist(), at_high[:-1].tolist(), at_high[1:].tolist()))
+        cols = [[token[a:z].tobytes() for a, z, *_ in spans], [head[a:z].tobytes() for a, z, *_ in spans], [low[a:z].tobytes() for *_, a, z, _, _ in spans], [high[a:z].tobytes() for *_, a, z in spans]]
+        return pa.RecordBatch.from_arrays([pa.array(part[begin]), *(pa.array(c, pa.binary()) for c in cols)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        have = 0
         for b in batches:
-            prefix = b.column(4)
-            known = prefix.value_lengths().to_numpy().astype(np.int64)
-            ids = prefix.flatten().to_numpy()
-            count = _prefix(b.column(3).to_numpy().astype(np.int64), threshold)
-            row = np.repeat(np.arange(len(count)), count)
-            first = np.cumsum(known) - known
-            pos = np.arange(len(row)) - (np.cumsum(count) - count)[row]
-            seen = np.minimum(known, WINDOW)[row]
-            at = np.append(0, np.cumsum(seen + _HEAD))
-            words = np.empty(at[-1], np.int32)
-            doc = b.column(0).fill_null(_NULL).to_numpy()[row]
-            head = (doc >> 32, doc & 0xFFFFFFFF, b.column(1).to_numpy()[row], b.column(2).to_numpy()[row], (b.column(3).to_numpy()[row].astype(np.int64) << 8) | np.minimum(pos, 255))
-            for k, x in enumerate(head):
-                words[at[:-1] + k] = x.astype(np.int64).astype(np.uint32).view(np.int32)
-            inside = np.arange(seen.sum()) - np.repeat(np.cumsum(seen) - seen, seen)
-            words[np.repeat(at[:-1] + _HEAD, seen) + inside] = ids[np.repeat(first[row], seen) + inside]
-            packed = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(words)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first[row] + pos]), packed], names=["token", "line"])
-
-    return ranked.select("doc", "th", "line", "size", "prefix").mapInArrow(run, "token int, line binary")
-
-
-def _tiles(posted: DataFrame, threshold: float) -> DataFrame:
+            held.append(b)
+            have += b.num_rows
+            if have >= _POSTED:
+                yield packed(pa.Table.from_batches(held))
+                held, have = [], 0
+        if have:
+            yield packed(pa.Table.from_batches(held))
+
+    return ranked.select("doc", "th", "line", "size", "prefix").mapInArrow(run, "part int, tokens binary, heads binary, low binary, high binary")
+
+
+def _tiles(posted: DataFrame, threshold: float, parts: int) -> DataFrame:
     """(token, line) of the lines that have any partner in the token's tile that lengths, positions and prefixes allow.
 
     Only lines are told, not pairs: a tile of n copies sends n rows on, not n * n.
     """
 
     def partners(t: pa.Table) -> pa.RecordBatch:
-        token = t.column("token").to_numpy()
+        token, head, low, high = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("tokens", np.int32), ("heads", np.int32), ("low", np.uint16), ("high", np.uint16)))
+        head = head.reshape(-1, _HEAD)
+        size, pos = (head[:, 4].view(np.uint32) >> 8).astype(np.int64), (head[:, 4] & 255).astype(np.int64)
+        seen = np.minimum(_window(size, threshold), WINDOW)
+        before = np.minimum(pos, seen)
+        # a token that only one line has makes no pair
+        order = np.argsort(token, kind="stable")
+        same = token[order[1:]] == token[order[:-1]]
+        order = order[np.append(same, False) | np.append(False, same)] if len(order) > 1 else order[:0]
+        order = order[np.lexsort((size[order], token[order]))]
+        low = low[np.repeat((np.cumsum(seen) - seen)[order], seen[order]) + _inside(seen[order])]
+        high = high[np.repeat((np.cumsum(before) - before)[order], before[order]) + _inside(before[order])]
+        token, head, size, pos = token[order], head[order], size[order], pos[order]
         n = len(token)
-        data, offsets = _binary(t.column("line").combine_chunks())
-        words, at = data.view(np.int32), offsets // 4
-        size = (words[at[:-1] + 4].view(np.uint32) >> 8).astype(np.int64)
-        order = np.lexsort((size, token))
-        token, size, begin, seen = token[order], size[order], at[:-1][order], np.diff(at)[order] - _HEAD
-        windows = words[np.repeat(begin + _HEAD - np.cumsum(seen) + seen, seen) + np.arange(seen.sum())]
-        lines = _Lines(size, words[begin + 4] & 255, windows, threshold)
-        tile = np.cumsum(np.append(True, token[1:] != token[:-1])) << 32
+        lines = _Lines(size, pos, low, high, threshold)
+        tile = np.cumsum(np.append(True, token[1:] != token[:-1])[:n]) << 32
         end = np.searchsorted(tile + size, tile + np.floor(size / threshold + _EPS).astype(np.int64), "right")
         # with partners of its own size or more, a token further on can't be the first common one
         far = size - np.ceil(2 * threshold / (1 + threshold) * size - _EPS).astype(np.int64)
-        total = np.append(0, np.cumsum(np.where(lines.pos <= far, np.maximum(end - np.arange(n) - 1, 0), 0)))
+        total = np.append(0, np.cumsum(np.where(pos <= far, np.maximum(end - np.arange(n) - 1, 0), 0)))
         marked = np.zeros(n, bool)
         for first in range(0, int(total[-1]), _PAIRS):
             x = np.arange(first, min(first + _PAIRS, int(total[-1])))
@@ -245,25 +288,16 @@ def _tiles(posted: DataFrame, threshold: float) -> DataFrame:
             j = i + 1 + x - total[i]
             ok = lines.allow(i, j)
             marked[i[ok]] = marked[j[ok]] = True
-        begin = begin[marked]
-        doc = (words[begin].astype(np.int64) << 32) | words[begin + 1].view(np.uint32).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(token[marked]), pa.array(doc, mask=doc == _NULL), pa.array(words[begin + 2]), pa.array(words[begin + 3])], names=["token", "doc", "th", "line"])
+        head = head[marked]
+        doc = (head[:, 0].astype(np.int64) << 32) | head[:, 1].view(np.uint32).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(token[marked]), pa.array(doc, mask=doc == _NULL), pa.array(head[:, 2].copy()), pa.array(head[:, 3].copy())], names=["token", "doc", "th", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            token = b.column(0).to_numpy()
-            last = int(np.searchsorted(token, token[-1]))
-            if last or (held and held[0].column(0)[0] != b.column(0)[0]):
-                yield partners(pa.Table.from_batches([*held, b.slice(0, last)]))
-                held = []
-            held.append(b.slice(last))
+        held = [b for b in batches if b.num_rows]
         if held:
             yield partners(pa.Table.from_batches(held))
 
-    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(run, f"token int, {_LINE.format('')}")
+    return posted.repartitionById(parts, F.col("part")).mapInArrow(run, f"token int, {_LINE.format('')}")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -284,7 +318,10 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in sets]
         size = np.array([len(x) for x in sets])
         seen = np.minimum(_window(size, threshold), WINDOW)
-        lines = _Lines(size, np.array([int(np.argmax(x == token)) for x in low]), np.concatenate([x[:k] for x, k in zip(low, seen.tolist())]), threshold)
+        pos = np.array([int(np.argmax(x == token)) for x in low])
+        words = [x.view(np.uint32) for x in low]
+        halves = np.concatenate([(x[:k] & 0xFFFF).astype(np.uint16) for x, k in zip(words, seen.tolist())]), np.concatenate([(x[:k] >> 16).astype(np.int32) for x, k in zip(words, np.minimum(pos, seen).tolist())])
+        lines = _Lines(size, pos, *halves, threshold)
         out, j = [], 1
         while j < n:
             stop = j + max(1, _PAIRS // 8 // n)
@@ -350,7 +387,10 @@ def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     records = _records(docs, level, bucket_bits, threshold)
     at = F.rank().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
     ranked = written(records.withColumn("n", F.when(F.col("gone"), 2).otherwise(at)).select("doc", "th", "line", "size", F.when(F.col("n") == 1, F.col("prefix")).alias("prefix")), "lines")
-    needed = written(_tiles(_post(ranked.where("size(prefix) > 0"), threshold), threshold), "needed")
+    some = ranked.where("size(prefix) > 0")
+    postings = some.agg(F.sum(F.col("size") - F.ceil(threshold * F.col("size") - _EPS) + 1)).first()[0] or 0
+    parts = max(1, math.ceil(postings / _PART))
+    needed = written(_tiles(_post(some, threshold, parts), threshold, parts), "needed")
     by_text = needed.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("lines"))
     by_text = F.broadcast(by_text) if needed.count() <= BROADCAST_LINES else by_text
     sets = _line_sets(docs.join(by_text, docs["doc"].eqNullSafe(by_text["_doc"]) & (docs["th"] == by_text["_th"])).select("doc", "text", "th", "lines"), level, bucket_bits)
