@@ -35,7 +35,6 @@ _POSTED = 1 << 17
 _PART = 1 << 19
 _EPS = 1e-9
 _NULL = -(1 << 63)
-_HEAD = 5
 _LINE = "doc{0} bigint, th{0} int, line{0} int"
 
 
@@ -176,8 +175,8 @@ class _Lines:
         need = np.ceil(t / (1 + t) * (size[i] + size[j]) - _EPS)
         some = np.flatnonzero((np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - _EPS) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need))
         ok = np.zeros(len(i), bool)
-        for lo in range(0, len(some), _PAIRS // 8):
-            at = some[lo : lo + _PAIRS // 8]
+        for lo in range(0, len(some), _PAIRS // 32):
+            at = some[lo : lo + _PAIRS // 32]
             x, y = i[at], j[at]
             same = self.low[x][:, :, None] == self.low[y][:, None, :]
             common = same.any(2) & (np.arange(WINDOW) < self.seen[x][:, None])
@@ -200,21 +199,32 @@ def _inside(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _near(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits by the first one and the differences, if these are small; else as they are."""
+    d = np.diff(x)
+    if len(d) and (d.min() < 0 or d.max() >= 1 << 16):
+        return b"\x00" + x.tobytes()
+    return b"\x01" + x[:1].tobytes() + d.astype(np.uint16).tobytes()
+
+
+def _far(raw: bytes) -> np.ndarray:
+    if raw[0] == 0:
+        return np.frombuffer(raw, np.int64, offset=1)
+    return np.frombuffer(raw, np.int64, 1, 1) + np.append(0, np.cumsum(np.frombuffer(raw, np.uint16, offset=9).astype(np.int64)))
+
+
 def _post(ranked: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(part, tokens, heads, low, high): each line under each token of its prefix, packed, a row for some lines of one part of the tokens.
+    """(part, tokens, lines, sizes, low, high): each line under each token of its prefix, packed, a row for some lines of one part of the tokens.
 
-    A head is the document (two words of 32 bits), the text hash, the line
-    number, and the size with the position in its last byte (255 and more as
-    255, which weakens filters only).  low and high are the ids' halves that
-    _Lines needs.
+    lines are numbers, told by their differences; a size has the position in its
+    last byte (255 and more as 255, which weakens filters only).  low and high
+    are the ids' halves that _Lines needs.
     """
-    names = ["part", "tokens", "heads", "low", "high"]
+    names = ["part", "tokens", "lines", "sizes", "low", "high"]
 
     def packed(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        doc, th, line, size = (t.column(k).chunk(0) for k in range(4))
-        prefix = t.column(4).chunk(0)
-        doc, th, line, size = doc.fill_null(_NULL).to_numpy(), th.to_numpy(), line.to_numpy(), size.to_numpy().astype(np.int64)
+        number, size, prefix = t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.int64), t.column(2).chunk(0)
         known = prefix.value_lengths().to_numpy().astype(np.int64)
         first, ids = np.cumsum(known) - known, prefix.flatten().to_numpy()
         count = _prefix(size, threshold)
@@ -224,9 +234,7 @@ def _post(ranked: DataFrame, threshold: float, parts: int) -> DataFrame:
         order = np.argsort(part, kind="stable")
         row, pos, token, part = row[order], pos[order], token[order], part[order]
         pos = np.minimum(pos, 255)
-        head = np.empty((len(row), _HEAD), np.int32)
-        for k, x in enumerate((doc[row] >> 32, doc[row] & 0xFFFFFFFF, th[row], line[row], (size[row] << 8) | pos)):
-            head[:, k] = x.astype(np.int64).astype(np.uint32).view(np.int32)
+        lines, sizes = number[row], ((size[row] << 8) | pos).astype(np.uint32)
         seen = np.minimum(known, WINDOW)[row]
         before = np.minimum(pos, seen)
         words = ids.view(np.uint32)
@@ -236,7 +244,7 @@ def _post(ranked: DataFrame, threshold: float, parts: int) -> DataFrame:
         cut = np.append(begin, len(part))
         at_low, at_high = (np.append(0, np.cumsum(x))[cut] for x in (seen, before))
         spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), at_low[:-1].tolist(), at_low[1:].tolist(), at_high[:-1].tolist(), at_high[1:].tolist()))
-        cols = [[token[a:z].tobytes() for a, z, *_ in spans], [head[a:z].tobytes() for a, z, *_ in spans], [low[a:z].tobytes() for *_, a, z, _, _ in spans], [high[a:z].tobytes() for *_, a, z in spans]]
+        cols = [[token[a:z].tobytes() for a, z, *_ in spans], [_near(lines[a:z]) for a, z, *_ in spans], [sizes[a:z].tobytes() for a, z, *_ in spans], [low[a:z].tobytes() for *_, a, z, _, _ in spans], [high[a:z].tobytes() for *_, a, z in spans]]
         return pa.RecordBatch.from_arrays([pa.array(part[begin]), *(pa.array(c, pa.binary()) for c in cols)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,19 +259,19 @@ def _post(ranked: DataFrame, threshold: float, parts: int) -> DataFrame:
         if have:
             yield packed(pa.Table.from_batches(held))
 
-    return ranked.select("doc", "th", "line", "size", "prefix").mapInArrow(run, "part int, tokens binary, heads binary, low binary, high binary")
+    return ranked.select("number", "size", "prefix").mapInArrow(run, "part int, tokens binary, lines binary, sizes binary, low binary, high binary")
 
 
 def _tiles(posted: DataFrame, threshold: float, parts: int) -> DataFrame:
-    """(token, line) of the lines that have any partner in the token's tile that lengths, positions and prefixes allow.
+    """(token, number) of the lines that have any partner in the token's tile that lengths, positions and prefixes allow.
 
     Only lines are told, not pairs: a tile of n copies sends n rows on, not n * n.
     """
 
     def partners(t: pa.Table) -> pa.RecordBatch:
-        token, head, low, high = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("tokens", np.int32), ("heads", np.int32), ("low", np.uint16), ("high", np.uint16)))
-        head = head.reshape(-1, _HEAD)
-        size, pos = (head[:, 4].view(np.uint32) >> 8).astype(np.int64), (head[:, 4] & 255).astype(np.int64)
+        token, size, low, high = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("tokens", np.int32), ("sizes", np.uint32), ("low", np.uint16), ("high", np.uint16)))
+        number = np.concatenate([_far(x) for x in t.column("lines").to_pylist()])
+        size, pos = (size >> 8).astype(np.int64), (size & 255).astype(np.int64)
         seen = np.minimum(_window(size, threshold), WINDOW)
         before = np.minimum(pos, seen)
         # a token that only one line has makes no pair
@@ -273,7 +281,7 @@ def _tiles(posted: DataFrame, threshold: float, parts: int) -> DataFrame:
         order = order[np.lexsort((size[order], token[order]))]
         low = low[np.repeat((np.cumsum(seen) - seen)[order], seen[order]) + _inside(seen[order])]
         high = high[np.repeat((np.cumsum(before) - before)[order], before[order]) + _inside(before[order])]
-        token, head, size, pos = token[order], head[order], size[order], pos[order]
+        token, number, size, pos = token[order], number[order], size[order], pos[order]
         n = len(token)
         lines = _Lines(size, pos, low, high, threshold)
         tile = np.cumsum(np.append(True, token[1:] != token[:-1])[:n]) << 32
@@ -288,16 +296,14 @@ def _tiles(posted: DataFrame, threshold: float, parts: int) -> DataFrame:
             j = i + 1 + x - total[i]
             ok = lines.allow(i, j)
             marked[i[ok]] = marked[j[ok]] = True
-        head = head[marked]
-        doc = (head[:, 0].astype(np.int64) << 32) | head[:, 1].view(np.uint32).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(token[marked]), pa.array(doc, mask=doc == _NULL), pa.array(head[:, 2].copy()), pa.array(head[:, 3].copy())], names=["token", "doc", "th", "line"])
+        return pa.RecordBatch.from_arrays([pa.array(token[marked]), pa.array(number[marked])], names=["token", "number"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
             yield partners(pa.Table.from_batches(held))
 
-    return posted.repartitionById(parts, F.col("part")).mapInArrow(run, f"token int, {_LINE.format('')}")
+    return posted.repartitionById(parts, F.col("part")).mapInArrow(run, "token int, number bigint")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -386,11 +392,11 @@ def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     level = spark.sparkContext.broadcast(rarity_levels(docs, bucket_bits))
     records = _records(docs, level, bucket_bits, threshold)
     at = F.rank().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
-    ranked = written(records.withColumn("n", F.when(F.col("gone"), 2).otherwise(at)).select("doc", "th", "line", "size", F.when(F.col("n") == 1, F.col("prefix")).alias("prefix")), "lines")
+    ranked = written(records.withColumn("n", F.when(F.col("gone"), 2).otherwise(at)).select("doc", "th", "line", "size", F.when(F.col("n") == 1, F.col("prefix")).alias("prefix"), F.monotonically_increasing_id().alias("number")), "lines")
     some = ranked.where("size(prefix) > 0")
     postings = some.agg(F.sum(F.col("size") - F.ceil(threshold * F.col("size") - _EPS) + 1)).first()[0] or 0
     parts = max(1, math.ceil(postings / _PART))
-    needed = written(_tiles(_post(some, threshold, parts), threshold, parts), "needed")
+    needed = written(_tiles(_post(some, threshold, parts), threshold, parts).join(some.select("number", "doc", "th", "line"), "number").select("token", "doc", "th", "line"), "needed")
     by_text = needed.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("lines"))
     by_text = F.broadcast(by_text) if needed.count() <= BROADCAST_LINES else by_text
     sets = _line_sets(docs.join(by_text, docs["doc"].eqNullSafe(by_text["_doc"]) & (docs["th"] == by_text["_th"])).select("doc", "text", "th", "lines"), level, bucket_bits)
