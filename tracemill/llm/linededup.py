@@ -353,7 +353,10 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                     tile, ids, sets = token, [], []
                 if not ids or ids[-1] != tuple(line):
                     ids.append(tuple(line))
-                    sets.append(np.frombuffer(arrays[i].as_buffer().to_pybytes(), np.uint64))
+                    raw = np.frombuffer(arrays[i].as_buffer(), np.uint8).reshape(-1, 6)
+                    full = np.zeros((len(raw), 8), np.uint8)
+                    full[:, :6] = raw
+                    sets.append(full.view(np.uint64).ravel())
             yield batch(out)
         yield batch(later(tile, ids, sets))
 
@@ -365,7 +368,7 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _line_sets(docs: DataFrame, level, bits: int) -> DataFrame:
-    """(doc, th, line, arr): the token hashes, rarest first, of those lines of (doc, text, th, lines) that are in lines."""
+    """(doc, th, line, arr): 48 bits of each token's hash, rarest first, of those lines of (doc, text, th, lines) that are in lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,7 +378,8 @@ def _line_sets(docs: DataFrame, level, bits: int) -> DataFrame:
                 part = wanted.slice(lo, len(first) - 1)
                 text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
                 line = part.flatten().to_numpy()
-                arr = [h[cut[x] : cut[x + 1]].tobytes() for x in first[text] + line]
+                low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
+                arr = [low[cut[x] : cut[x + 1]].tobytes() for x in first[text] + line]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(th[text + lo]), pa.array(line), pa.array(arr, pa.binary())], names=["doc", "th", "line", "arr"])
 
     return docs.mapInArrow(run, f"{_LINE.format('')}, arr binary")
