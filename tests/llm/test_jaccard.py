@@ -116,3 +116,58 @@ def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in jaccard.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 51)} | {101: 100}
+
+
+def classes(texts, rows, t=0.6):
+    """(id, class, links) by brute force; rows: (id, text number)."""
+    links, root = dict.fromkeys((i for i, _ in rows), 0), {i: i for i, _ in rows}
+    near = brute(texts, t)
+    for a, x in sorted(set(rows)):
+        for b, y in sorted(set(rows)):
+            if (a, x) != (b, y) and (tuple(sorted((x, y))) in near or (x == y and a != b)):
+                links[a] += 1
+                p, q = root[a], root[b]
+                root = {i: min(p, q) if r in (p, q) else r for i, r in root.items()}
+    return sorted((i, root[i], links[i]) for i in links)
+
+
+def test_classes_and_links_of_brute_force(spark, monkeypatch):
+    texts = some_texts()
+    want = classes(texts, [(i, i) for i in range(len(texts))])
+    assert len({c for _, c, _ in want}) < len(want) and max(n for *_, n in want) > 4
+    for few, cells in ((40, 1 << 24), (0, 1 << 10)):
+        monkeypatch.setattr(jaccard, "_FEW_PAIRS", few)
+        monkeypatch.setattr(jaccard, "_CELLS", cells)
+        assert sorted(map(tuple, jaccard.near_copy_classes(table(spark, texts)).collect())) == want
+
+
+def test_classes_of_one_template(spark):
+    core = [f"c{i}" for i in range(82)]
+    texts = [" ".join(core + [f"p{page}x{i}" for i in range(22)]) for page in range(140)]
+    assert sorted(map(tuple, jaccard.near_copy_classes(table(spark, texts)).collect())) == [(i, 0, 139) for i in range(140)]
+
+
+def test_classes_that_share_their_smallest_id(spark):
+    """Id 5 has two texts, which are near copies of each other and equal to those of 7 and 9: 7 and 9 are a pair."""
+    words = [f"a{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words[:-2], "zz", "yy"])]
+    rows = [(5, 0), (7, 0), (5, 1), (9, 1), (11, 1)]
+    df = spark.createDataFrame([(i, texts[k]) for i, k in rows], "doc_id long, text string")
+    got = [(r.id_a, r.id_b) for r in jaccard.ngram_jaccard_join(df).collect() if r.jaccard < 1]
+    assert {(7, 9), (7, 11)} <= set(got) and len(got) == len(set(got))
+    assert sorted(map(tuple, jaccard.near_copy_classes(df).collect())) == classes(texts, rows)
+
+
+def test_low_thresholds_lose_no_pair(spark):
+    """At 0.4 the bitmaps of two bands may differ by a factor of four."""
+    words = [f"a{i}" for i in range(702)]
+    texts = [" ".join(words[:502]), " ".join(words)]
+    want = brute(texts, 0.4)
+    assert len(want) == 1
+    assert pairs(jaccard.ngram_jaccard_join(table(spark, texts), threshold=0.4)) == want
+
+
+def test_classes_of_odd_rows(odd_docs, no_docs):
+    got = sorted(map(tuple, jaccard.near_copy_classes(odd_docs).collect()))
+    assert got == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 1), (6, 5, 1), (7, 7, 0), (8, 8, 0)]
+    assert jaccard.near_copy_classes(no_docs).collect() == []

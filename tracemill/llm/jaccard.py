@@ -13,8 +13,9 @@
    and of those only the ones that have a pair which isn't met in a larger tile.
    In it the lengths, and then the hashed bitmaps, bound each pair's overlap
    from above.
-4. Pairs that pass carry only keys; the tile is met again by the sorted hash
-   arrays of the sets that still have a pair, and these are intersected.
+4. The tile is met again by the sorted hash arrays of the sets that still have
+   a pair, and these are intersected: many pairs of one tile as rows of bits.
+   Links are counted and groups joined there, so no pair is written.
 
 Every step is exact, hashes of 64 bits aside: the buckets' size and the rest of
 the order cost time only.
@@ -45,6 +46,9 @@ _CHUNK = 1 << 15
 #: N-grams that a task posts in one go, and that a part of the anchors has on average.
 _POSTINGS = 1 << 20
 _PART = 1 << 21
+#: Up to so many pairs of a tile are intersected one by one; more as rows of bits, of so many cells at a time.
+_FEW_PAIRS = 40
+_CELLS = 1 << 24
 
 
 def ngram_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -310,81 +314,186 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _candidates(anchor: np.ndarray, band: np.ndarray, size: np.ndarray, raw: list[bytes], posted: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, late): the pairs of each anchor's tiles that lengths and bitmaps allow, sets of one band with each other and with those of the next; under their first common one of the posted anchors only, or `late` if they have none."""
+    n = len(anchor)
+    place = (np.cumsum(np.append(True, anchor[1:] != anchor[:-1])[:n]) << 32) + band
+    end = np.searchsorted(place, place + 1, "right")
+    widths = np.array([8 * len(x) for x in raw], np.int64)
+    widest = 1 << math.ceil(math.log2(1 / threshold))
+    for width in np.unique(widths).tolist():
+        # a bit is the hash modulo the width, so parts laid over each other make a bitmap of a narrower band's width
+        able = np.flatnonzero((widths >= width) & (widths <= widest * width))
+        bits = np.empty((n, width // 64), np.uint64) if len(able) == n else np.zeros((n, width // 64), np.uint64)
+        for x in able.tolist():
+            bits[x] = np.bitwise_or.reduce(np.frombuffer(raw[x], np.uint64).reshape(-1, width // 64), 0)
+        total = np.append(0, np.cumsum(np.where(widths == width, end - np.arange(n) - 1, 0)))
+        most = max(1024, (32 << 23) // width)
+        for first in range(0, int(total[-1]), most):
+            x = np.arange(first, min(first + most, int(total[-1])))
+            i = np.searchsorted(total, x, "right") - 1
+            j = i + 1 + x - total[i]
+            si, sj = size[i].astype(np.int64), size[j].astype(np.int64)
+            ok = np.minimum(si, sj) >= threshold * np.maximum(si, sj) - 1e-9
+            i, j, s = i[ok], j[ok], (si + sj)[ok]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            ok = (s - apart) / 2 >= threshold / (1 + threshold) * s - 1e-9
+            i, j = i[ok], j[ok]
+            ok, late = _first_common(posted[i], posted[j], anchor[i])
+            ok |= late
+            if ok.any():
+                yield i[ok], j[ok], late[ok]
+
+
 def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one tile that lengths and bitmaps allow, under their first common one of the posted anchors only, or `late` if they have none; and a row without l1 for each set in any that isn't late."""
+    """The rows of the sets that have a candidate pair which isn't late in their tile; and a row with l1 for each late pair."""
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """The pairs of each anchor's tiles: sets of one band with each other and with those of the next."""
         anchor, band, size = (t.column(c).to_numpy() for c in ("anchor", "band", "size"))
-        n = len(anchor)
         k = np.stack([t.column("k1").to_numpy(), t.column("k2").to_numpy()], 1)
-        raw = t.column("bits").to_pylist()
-        posted = _anchors(t.column("posted"))
-        place = (np.cumsum(np.append(True, anchor[1:] != anchor[:-1])) << 32) + band
-        end = np.searchsorted(place, place + 1, "right")
-        widths = np.array([8 * len(x) for x in raw])
-        marked = np.zeros(n, bool)
-        for width in np.unique(widths).tolist():
-            # a bit is the hash modulo the width, so halves laid over each other make a bitmap of half the width
-            able = np.flatnonzero((widths == width) | (widths == 2 * width))
-            bits = np.empty((n, width // 64), np.uint64) if len(able) == n else np.zeros((n, width // 64), np.uint64)
-            for x in able.tolist():
-                bits[x] = np.bitwise_or.reduce(np.frombuffer(raw[x], np.uint64).reshape(-1, width // 64), 0)
-            total = np.append(0, np.cumsum(np.where(widths == width, end - np.arange(n) - 1, 0)))
-            most = max(1024, (32 << 23) // width)
-            for first in range(0, int(total[-1]), most):
-                x = np.arange(first, min(first + most, int(total[-1])))
-                i = np.searchsorted(total, x, "right") - 1
-                j = i + 1 + x - total[i]
-                si, sj = size[i].astype(np.int64), size[j].astype(np.int64)
-                ok = np.minimum(si, sj) >= threshold * np.maximum(si, sj) - 1e-9
-                i, j, s = i[ok], j[ok], (si + sj)[ok]
-                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-                ok = (s - apart) / 2 >= threshold / (1 + threshold) * s - 1e-9
-                i, j = i[ok], j[ok]
-                ok, late = _first_common(posted[i], posted[j], anchor[i])
-                ok |= late
-                i, j, late = i[ok], j[ok], late[ok]
-                marked[i[~late]] = marked[j[~late]] = True
+        marked = np.zeros(len(anchor), bool)
+        for i, j, late in _candidates(anchor, band, size, t.column("bits").to_pylist(), _anchors(t.column("posted")), threshold):
+            marked[i[~late]] = marked[j[~late]] = True
+            i, j = i[late], j[late]
+            if len(i):
                 swap = (k[i, 0] > k[j, 0]) | ((k[i, 0] == k[j, 0]) & (k[i, 1] > k[j, 1]))
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (anchor[i], k[i, 0], k[i, 1], k[j, 0], k[j, 1], late)], names=["anchor", "k1", "k2", "l1", "l2", "late"])
-        none = pa.nulls(int(marked.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[marked]), pa.array(k[marked, 0]), pa.array(k[marked, 1]), none, none, pa.array(np.zeros(len(none), bool))], names=["anchor", "k1", "k2", "l1", "l2", "late"])
+                told = {"anchor": anchor[i], "k1": k[i, 0], "k2": k[i, 1], "l1": k[j, 0], "l2": k[j, 1]}
+                yield pa.RecordBatch.from_arrays([pa.array(told[f.name]) if f.name in told else pa.nulls(len(i), f.type) for f in [*t.schema, pa.field("l1", pa.int64()), pa.field("l2", pa.int64())]], names=[*t.column_names, "l1", "l2"])
+        if marked.any():
+            some = t.filter(pa.array(marked))
+            none = pa.nulls(some.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in some.columns), none, none], names=[*t.column_names, "l1", "l2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_tiles(batches):
             yield from pairs(t)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "band").mapInArrow(run, "anchor bigint, k1 bigint, k2 bigint, l1 bigint, l2 bigint, late boolean")
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "band").mapInArrow(run, "anchor bigint, band int, k1 bigint, k2 bigint, size int, bits binary, posted binary, n int, l1 bigint, l2 bigint")
+
+
+def _dense_overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Overlaps of many pairs of few sets: each set is a row of bits, one for each hash that a pair can share."""
+    used, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    i, j = at[: len(i)], at[len(i) :]
+    hashes = np.concatenate([sets[x] for x in used.tolist()])
+    row = np.repeat(np.arange(len(used)), [len(sets[x]) for x in used.tolist()])
+    _, h = np.unique(hashes, return_inverse=True)
+    left = np.zeros(len(used), bool)
+    left[i] = True
+    shared = np.zeros(int(h.max(initial=-1)) + 1, bool)
+    shared[h[left[row]]] = True
+    shared &= np.bincount(h) > 1
+    some = shared[h]
+    row, column = row[some], (np.cumsum(shared) - 1)[h[some]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros(len(i), np.int64)
+    count = int(shared.sum())
+    wide = min(-(-count // 64) * 64, max(64, _CELLS // len(used) // 64 * 64))
+    for first in range(0, count, max(wide, 64)):
+        a, z = np.searchsorted(column, (first, first + wide))
+        cells = np.zeros((len(used), wide), bool)
+        cells[row[a:z], column[a:z] - first] = True
+        bits = np.packbits(cells, axis=1).view(np.uint64)
+        step = max(1, (1 << 20) // bits.shape[1])
+        for lo in range(0, len(i), step):
+            out[lo : lo + step] += np.bitwise_count(bits[i[lo : lo + step]] & bits[j[lo : lo + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def _overlaps(sets: list[np.ndarray], anchor: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many hashes each pair has in common; pairs of one tile are in a row."""
+    tile = anchor[i]
+    cut = np.append(np.flatnonzero(np.append(True, tile[1:] != tile[:-1])), len(i)).tolist()
+    out = np.zeros(len(i), np.int64)
+    for a, z in zip(cut, cut[1:]):
+        if z - a > _FEW_PAIRS:
+            out[a:z] = _dense_overlaps(sets, i[a:z], j[a:z])
+            continue
+        for k, x, y in zip(range(a, z), i[a:z].tolist(), j[a:z].tolist()):
+            both = np.concatenate((sets[x], sets[y]))
+            both.sort(kind="stable")
+            out[k] = np.count_nonzero(both[1:] == both[:-1])
+    return out
+
 
+def _similar(t: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, overlap) of the pairs of rows of whole tiles that meet the threshold; rows as _join tells."""
+    anchor, kind, k1, k2 = (t.column(c).to_numpy() for c in ("anchor", "kind", "k1", "k2"))
+    sets = [np.frombuffer(x, np.uint64) if x is not None else None for x in t.column("arr").to_pylist()]
+    size = np.array([0 if x is None else len(x) for x in sets], np.int64)
 
-def _intersect(rows: DataFrame, threshold: float) -> DataFrame:
-    """Exact overlaps; each tile's arrays come before its pairs."""
+    def met(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        overlap = _overlaps(sets, anchor, i, j)
+        ok = overlap >= threshold * (size[i] + size[j] - overlap) - 1e-9
+        return i[ok], j[ok], overlap[ok]
+
+    same = np.append(False, (anchor[1:] == anchor[:-1]) & (kind[1:] == kind[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]))[: len(kind)]
+    full = np.flatnonzero((kind == 0) & ~same)  # repeated rows of one document are the same set
+    if len(full):
+        some = t.take(pa.array(full))
+        for i, j, late in _candidates(anchor[full], some.column("band").to_numpy(), size[full], some.column("bits").to_pylist(), _anchors(some.column("posted")), threshold):
+            if not late.all():
+                yield met(full[i[~late]], full[j[~late]])
+    pairs = np.flatnonzero(kind == 2)
+    if len(pairs):
+        at = {key: x for x, key in enumerate(zip(anchor.tolist(), k1.tolist(), k2.tolist())) if kind[x] < 2}
+        p = t.take(pa.array(pairs))
+        a, *keys = (p.column(c).to_pylist() for c in ("anchor", "k1", "k2", "l1", "l2"))
+        i = np.array([at[x] for x in zip(a, *keys[:2])])
+        j = np.array([at[x] for x in zip(a, *keys[2:])])
+        yield met(i, j)
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "kind", "band", "k1", "k2")
+
+
+def _pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of different sets that meets the threshold, once."""
+    names = ["k1", "k2", "l1", "l2", "overlap", "size_a", "size_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sets = None, {}
-        for b in batches:
-            out: list[tuple] = []
-            c = [b.column(x).to_pylist() for x in range(6)]
-            arrays = b.column(6)
-            for i, (anchor, kind, k1, k2, l1, l2) in enumerate(zip(*c)):
-                if anchor != tile:
-                    tile, sets = anchor, {}
-                if kind == 0:
-                    sets[k1, k2] = np.frombuffer(arrays[i].as_buffer(), np.uint64)
-                    continue
-                x, y = sets[k1, k2], sets[l1, l2]
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                overlap = int(np.count_nonzero(both[1:] == both[:-1]))
-                if overlap >= threshold * (len(x) + len(y) - overlap) - 1e-9:
-                    out.append((k1, k2, l1, l2, overlap, len(x), len(y)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["k1", "k2", "l1", "l2", "overlap", "size_a", "size_b"])
+        for t in _whole_tiles(batches):
+            k1, k2 = t.column("k1").to_numpy(), t.column("k2").to_numpy()
+            size = np.array([len(x or b"") // 8 for x in t.column("arr").to_pylist()], np.int64)
+            for i, j, overlap in _similar(t, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[i], k2[i], k1[j], k2[j], overlap, size[i], size[j])], names=names)
+
+    return _tiled(rows).mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "kind").mapInArrow(run, "k1 bigint, k2 bigint, l1 bigint, l2 bigint, overlap bigint, size_a bigint, size_b bigint")
+
+def _links(rows: DataFrame, threshold: float) -> DataFrame:
+    """(k1, k2, links, r1, r2): of each set with a pair in a tile, how many documents its pairs there tie it to, and a set of its connected group there.
+
+    A row for each set in a tile, not for each pair: a group of n near copies sends n rows on, not n * n.
+    """
+    names = ["k1", "k2", "links", "r1", "r2"]
+
+    def join(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        while True:
+            x, y = root[i], root[j]
+            apart = x != y
+            if not apart.any():
+                return root
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while np.any((up := root[root]) != root):
+                root = up
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_tiles(batches):
+            k1, k2, n = (t.column(c).to_numpy() for c in ("k1", "k2", "n"))
+            links, root = np.zeros(len(k1), np.int64), np.arange(len(k1))
+            for i, j, _ in _similar(t, threshold):
+                np.add.at(links, i, n[j].astype(np.int64))
+                np.add.at(links, j, n[i].astype(np.int64))
+                root = join(root, i, j)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[some], k2[some], links[some], k1[root[some]], k2[root[some]])], names=names)
+
+    return _tiled(rows).mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -400,7 +509,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _join(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Collapsed sets (k1, k2, ids, size ...) and the pairs of different sets (k1, k2, l1, l2, overlap, size_a, size_b)."""
+    """Collapsed sets (k1, k2, ids, size ...), and the tiles of those that still have a pair.
+
+    A tile's rows: its sets (kind 0), sets of late pairs (1), late pairs (2).
+    """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     first = written(_first_pass(docs, n, threshold, BUCKET_BITS), "first")
@@ -415,17 +527,18 @@ def _join(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -
     own = own.groupBy("s").agg(F.array_sort(F.collect_list(F.struct((-F.col("many")).alias("many"), "anchor")))["anchor"].alias("own"))
     packed = F.unhex(F.rpad(F.array_join(F.transform(F.slice("own", 1, POSTED), lambda x: F.lpad(F.hex(x), 16, "0")), ""), 16 * POSTED, "0"))
     posted = written(_met(own.select("s", packed.alias("posted"), F.explode("own").alias("anchor")).select("anchor", "s", "posted")), "posted")
-    tiles = posted.join(sets.select(F.col("k1").alias("s"), "k1", "k2", "size", "band", "bits"), "s").drop("s")
-    met = written(_tiles(tiles.select("anchor", "band", "k1", "k2", "size", "bits", "posted"), threshold), "pairs")
-    late = written(met.where("late").groupBy("k1", "k2", "l1", "l2").agg(F.min("anchor").alias("anchor")).select("anchor", "k1", "k2", "l1", "l2"), "late")
-    pairs = met.where("l1 IS NOT NULL AND NOT late").drop("late").union(late)
-    needed = met.where("l1 IS NULL").select("anchor", "k1", "k2").union(late.select("anchor", "k1", "k2").union(late.select("anchor", "l1", "l2")).distinct())
+    members = F.size("ids").alias("n")
+    tiles = posted.join(sets.select(F.col("k1").alias("s"), "k1", "k2", "size", "band", "bits", members), "s").drop("s")
+    met = written(_tiles(tiles.select("anchor", "band", "k1", "k2", "size", "bits", "posted", "n"), threshold), "met")
+    late = written(met.where("l1 IS NOT NULL").groupBy("k1", "k2", "l1", "l2").agg(F.min("anchor").alias("anchor")), "late")
+    columns = {"anchor": "bigint", "kind": "int", "band": "int", "k1": "bigint", "k2": "bigint", "l1": "bigint", "l2": "bigint", "bits": "binary", "posted": "binary", "n": "int"}
+    rows = lambda t, kind: t.withColumns({c: F.lit(kind) if c == "kind" else F.col(c) if c in t.columns else F.lit(None).cast(d) for c, d in columns.items()}).select(*columns)
+    of_late = late.select("anchor", "k1", "k2").union(late.select("anchor", "l1", "l2")).distinct().join(sets.select("k1", "k2", members), ["k1", "k2"])
+    needed = rows(met.where("l1 IS NULL"), 0).union(rows(of_late, 1))
     keys = needed.select("k1", "k2").distinct().join(sets.select("k1", "k2", F.element_at("ids", 1).alias("id")), ["k1", "k2"])
     keys = written(keys.select("id").distinct(), "keys")
     arrays = _sets(docs.join(small(keys), "id", "left_semi"), n)
-    none = F.lit(None)
-    met = needed.join(arrays, ["k1", "k2"]).select("anchor", F.lit(0).alias("kind"), "k1", "k2", none.cast("bigint").alias("l1"), none.cast("bigint").alias("l2"), "arr").union(pairs.select("anchor", F.lit(1), "k1", "k2", "l1", "l2", none.cast("binary")))
-    return sets, written(_intersect(met, threshold), "overlaps")
+    return sets, needed.join(arrays, ["k1", "k2"]).select(*columns, "arr").union(rows(late, 2).withColumn("arr", F.lit(None).cast("binary")))
 
 
 def ngram_jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -435,17 +548,25 @@ def ngram_jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same set are a class, told by its smallest id.  A row of jaccard 1 ties each
     other id of a class (id_b) to the smallest (id_a); every other row is a pair
     of classes, id_a < id_b, and holds for all their documents.  No pair is in
-    two rows.  So thousands of copies make thousands of rows, not millions.
+    two rows.  So thousands of copies make thousands of rows, not millions; but
+    pairs of different near copies are all told (near_copy_classes counts them).
 
     A text of 1 to n - 1 tokens has one shorter n-gram.  Texts that are null or
     without tokens, and rows with a null id, pair with none; an empty table has
     no pairs; repeated rows of one id are one document, and an id with two
-    different texts is in a class for each, but doesn't pair with itself; texts
-    of any length count whole; other columns are not read, whatever their names.
+    different texts is in a class for each, but doesn't pair with itself; if it
+    is the smallest of two classes that pair, all pairs of their other documents
+    are told one by one, in one row each; texts of any length count whole; other columns are not
+    read, whatever their names.
     """
-    sets, pairs = _join(df, id_col, text_col, n, threshold)
+    sets, tiles = _join(df, id_col, text_col, n, threshold)
     one = sets.select("k1", "k2", F.element_at("ids", 1).alias("id"))
-    found = pairs.join(one.withColumnRenamed("id", "a"), ["k1", "k2"]).join(one.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("id").alias("b")), ["l1", "l2"])
+    pairs = written(_pairs(tiles, threshold), "overlaps")
+    pairs = pairs.join(one.withColumnRenamed("id", "a"), ["k1", "k2"]).join(one.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("id").alias("b")), ["l1", "l2"])
+    # the smallest ids stand for their classes, unless they are one and the same
+    every = lambda k, x: sets.select(*(F.col(c).alias(k + c[1:]) for c in ("k1", "k2")), F.explode("ids").alias(x))
+    alike = pairs.where("a = b").drop("a", "b").join(every("k", "a"), ["k1", "k2"]).join(every("l", "b"), ["l1", "l2"])
+    found = pairs.where("a <> b").unionByName(alike)
     either = lambda x, y: F.when(F.col("a") <= F.col("b"), F.col(x)).otherwise(F.col(y))
     found = found.select(either("a", "b").alias("id_a"), either("b", "a").alias("id_b"), "overlap", either("size_a", "size_b").alias("size_a"), either("size_b", "size_a").alias("size_b")).where("id_a < id_b")
     size = F.col("size").cast("bigint")
@@ -453,6 +574,34 @@ def ngram_jaccard_join(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.union(same).withColumn("jaccard", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
 
 
+def _groups(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, root) of the ids that aren't the smallest of their connected group."""
+    one = sets.select("k1", "k2", F.element_at("ids", 1).alias("id"))
+    edges = linked.select("k1", "k2", "r1", "r2").where("k1 <> r1 OR k2 <> r2").join(one.withColumnRenamed("id", "u"), ["k1", "k2"]).join(one.select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("id").alias("v")), ["r1", "r2"]).select("u", "v")
+    same = sets.where(F.size("ids") > 1).select(F.explode("ids").alias("u"), F.element_at("ids", 1).alias("v"))
+    return components(edges.union(same))
+
+
+def near_copy_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(id_col, class_id, n_links) of each document: the smallest id of its connected group, and how many others have an n-gram set of at least threshold's Jaccard similarity to its own.
+
+    All pairs of ngram_jaccard_join count, equal sets too, but none is a row: the
+    result has as many rows as there are ids.  A document without a near copy is
+    a class of its own.  So are texts that are null or without tokens; rows with
+    a null id are left out; repeated rows of one id are one document; an id with
+    several texts has the links of each, also those between them; an empty table
+    has no rows; other columns are not read, whatever their names.
+    """
+    sets, tiles = _join(df, id_col, text_col, n, threshold)
+    linked = written(_links(tiles, threshold), "links")
+    count = linked.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+    told = sets.join(count, ["k1", "k2"], "left").select(F.explode("ids").alias("id"), (F.coalesce("links", F.lit(0)) + F.size("ids") - 1).alias("links"))
+    every = df.select(F.col(id_col).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("links")).where("id is not null")
+    total = every.union(told).groupBy("id").agg(F.sum("links").alias("n_links"))
+    groups = written(_groups(sets, linked), "groups")
+    return total.join(small(groups), total["id"] == groups["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), "n_links")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node's smallest connected node, by alternating large and small stars; edges (u, v) of longs."""
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -476,10 +625,7 @@ def keep_one_of_each_group(df: DataFrame, *, id_col: str = "doc_id", text_col: s
     group and stay; repeated rows of one id stay or go together; an empty table
     stays empty; columns may have any names.
     """
-    sets, pairs = _join(df, id_col, text_col, n, threshold)
-    one = sets.select("k1", "k2", F.element_at("ids", 1).alias("id"))
-    edges = pairs.select("k1", "k2", "l1", "l2").join(one.withColumnRenamed("id", "u"), ["k1", "k2"]).join(one.select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.col("id").alias("v")), ["l1", "l2"]).select("u", "v")
-    same = sets.where(F.size("ids") > 1).select(F.explode("ids").alias("u"), F.element_at("ids", 1).alias("v"))
+    sets, tiles = _join(df, id_col, text_col, n, threshold)
     name = fresh(df, "gone")
-    gone = written(components(edges.union(same)).select(F.col("node").alias(name)), "gone")
+    gone = written(_groups(sets, written(_links(tiles, threshold), "links")).select(F.col("node").alias(name)), "gone")
     return df.join(small(gone), df[id_col].cast("bigint") == gone[name], "left_anti")
