@@ -90,3 +90,21 @@ def test_one_order_with_and_without_collisions():
         return h[cut[0] : cut[1]].tolist()
 
     assert ordered(low) == ordered(low, [8, 8 + (1 << 34)]) == low
+
+
+def test_posting_and_pairing_take_bounded_memory():
+    """Half a million postings of 16 ids each: the places of all ids at once would take 64 MB for each array of them."""
+    import tracemalloc
+
+    values, first = np.zeros(1 << 16, np.uint16), np.arange(1 << 19) % 1000
+    count = np.full(1 << 19, 16)
+    tracemalloc.start()
+    got = linededup._gathered(values, first, count)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1 << 23 and most < 48 << 20
+
+
+def test_gathered_runs():
+    first, count = np.array([5, 0, 7, 2]), np.array([2, 0, 1, 3])
+    assert linededup._gathered(np.arange(10), first, count).tolist() == [5, 6, 7, 2, 3, 4]

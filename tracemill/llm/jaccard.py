@@ -89,6 +89,13 @@ def _width(band: int, threshold: float) -> int:
     return min(MOST_BITS, max(256, 1 << math.ceil(math.log2(1.4 * most))))
 
 
+def packed_counts(count: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The chunks of buckets that have any count, and their counts: a byte each, eight times the binary logarithm."""
+    level = np.minimum(np.round(8 * np.log2(count + 1.0)), 255).astype(np.uint8)
+    full = [k for k in range(0, len(level), _CHUNK) if level[k : k + _CHUNK].any()]
+    return [k // _CHUNK for k in full], [level[k : k + _CHUNK].tobytes() for k in full]
+
+
 def _first_pass(docs: DataFrame, n: int, threshold: float, bucket_bits: int) -> DataFrame:
     """(id, k1, k2, size, band, bits) of each document with a token; and each task's n-gram counts by bucket as rows (chunk, counts).
 
@@ -113,10 +120,9 @@ def _first_pass(docs: DataFrame, n: int, threshold: float, bucket_bits: int) ->
                     bits.append(np.packbits(one).tobytes())
                 m = len(some)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some + lo)), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(bits, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        level = np.minimum(np.round(8 * np.log2(count + 1.0)), 255).astype(np.uint8)
-        full = [k for k in range(0, len(level), _CHUNK) if level[k : k + _CHUNK].any()]
+        full, raw = packed_counts(count)
         none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array([k // _CHUNK for k in full], pa.int32()), pa.array([level[k : k + _CHUNK].tobytes() for k in full], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*none, pa.array(full, pa.int32()), pa.array(raw, pa.binary())], names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _text, jaccard
 from ._shared import fresh, written
 
 THRESHOLD = 0.85
@@ -29,9 +29,9 @@ WINDOW = 16
 LEAST_WINDOW = 8
 #: A list of at most so many line numbers is broadcast (4 bytes each, and some 40 a text); a longer one is joined by shuffling the texts.
 BROADCAST_LINES = 4_000_000
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 #: Lines that a task posts in one go, and postings that a part of the tokens has on average.
-_POSTED = 1 << 17
+_POSTED = 1 << 16
 _PART = 1 << 19
 _EPS = 1e-9
 _NULL = -(1 << 63)
@@ -58,22 +58,17 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def rarity_levels(docs: DataFrame, bits: int) -> np.ndarray:
-    """Four times the binary logarithm of each bucket's tokens in all texts (column 1)."""
+    """Four times the binary logarithm of each bucket's tokens in all texts (column 1), of the tasks' counts, each told by a byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(1 << bits, np.int64)
         for b in batches:
             for _, _, t in _line_tokens(b.column(1)):
-                count += np.bincount(_bucket(t.hash, bits), minlength=1 << bits)
-        some = np.flatnonzero(count)
-        for k in range(0, len(some), 100_000):
-            at = some[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], names=["bucket", "n"])
+                np.add.at(count, _bucket(t.hash, bits), 1)
+        chunk, raw = jaccard.packed_counts(count)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(raw, pa.binary())], names=["chunk", "counts"])
 
-    got = docs.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.floor(4 * F.log2(F.sum("n"))).cast("smallint").alias("level")).toArrow()
-    level = np.zeros(1 << bits, np.uint8)
-    level[got.column("bucket").to_numpy()] = np.minimum(got.column("level").to_numpy(), 255)
-    return level
+    return jaccard.rarity_levels(docs.mapInArrow(run, "chunk int, counts binary"), bits)
 
 
 def _distinct(t: _text.Tokens, level: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,11 +139,11 @@ def _records(docs: DataFrame, level, bits: int, threshold: float) -> DataFrame:
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             gone = np.empty(len(order), bool)
             gone[order] = np.any([x[order] != x[first] for x in keys], axis=0)  # a repeated row is no copy of itself
-            ends = np.append(0, np.cumsum(p)).astype(np.int32)
+            ends = 4 * np.append(0, np.cumsum(p)).astype(np.int32)
             names = ["doc", "th", "line", "k1", "k2", "size", "prefix", "gone"]
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(text)), pa.array(th[text]), pa.array(line.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(ends, ids), pa.array(gone)], names=names)
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(text)), pa.array(th[text]), pa.array(line.astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(size.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(ends), pa.py_buffer(ids)]), pa.array(gone)], names=names)
 
-    return docs.mapInArrow(run, f"{_LINE.format('')}, k1 bigint, k2 bigint, size int, prefix array<int>, gone boolean")
+    return docs.mapInArrow(run, f"{_LINE.format('')}, k1 bigint, k2 bigint, size int, prefix binary, gone boolean")
 
 
 class _Lines:
@@ -175,8 +170,8 @@ class _Lines:
         need = np.ceil(t / (1 + t) * (size[i] + size[j]) - _EPS)
         some = np.flatnonzero((np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - _EPS) & (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need))
         ok = np.zeros(len(i), bool)
-        for lo in range(0, len(some), _PAIRS // 32):
-            at = some[lo : lo + _PAIRS // 32]
+        for lo in range(0, len(some), _PAIRS // 8):
+            at = some[lo : lo + _PAIRS // 8]
             x, y = i[at], j[at]
             same = self.low[x][:, :, None] == self.low[y][:, None, :]
             common = same.any(2) & (np.arange(WINDOW) < self.seen[x][:, None])
@@ -199,6 +194,18 @@ def _inside(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _gathered(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """count values from each first on, one run after the other; in steps, as the places take much more memory than the values."""
+    out = np.empty(int(count.sum()), values.dtype)
+    at = 0
+    for lo in range(0, len(first), 1 << 15):
+        some = count[lo : lo + (1 << 15)]
+        end = at + int(some.sum())
+        out[at:end] = values[np.repeat(first[lo : lo + (1 << 15)], some) + _inside(some)]
+        at = end
+    return out
+
+
 def _near(x: np.ndarray) -> bytes:
     """Numbers of 64 bits by the first one and the differences, if these are small; else as they are."""
     d = np.diff(x)
@@ -224,9 +231,9 @@ def _post(ranked: DataFrame, threshold: float, parts: int) -> DataFrame:
 
     def packed(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        number, size, prefix = t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.int64), t.column(2).chunk(0)
-        known = prefix.value_lengths().to_numpy().astype(np.int64)
-        first, ids = np.cumsum(known) - known, prefix.flatten().to_numpy()
+        number, size, prefix = t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.int64), t.column(2).to_pylist()
+        known = np.array([len(x) for x in prefix], np.int64) // 4
+        first, ids = np.cumsum(known) - known, np.frombuffer(b"".join(prefix), np.int32)
         count = _prefix(size, threshold)
         row, pos = np.repeat(np.arange(len(count)), count), _inside(count)
         token = ids[first[row] + pos]
@@ -238,8 +245,8 @@ def _post(ranked: DataFrame, threshold: float, parts: int) -> DataFrame:
         seen = np.minimum(known, WINDOW)[row]
         before = np.minimum(pos, seen)
         words = ids.view(np.uint32)
-        low = (words[np.repeat(first[row], seen) + _inside(seen)] & 0xFFFF).astype(np.uint16)
-        high = (words[np.repeat(first[row], before) + _inside(before)] >> 16).astype(np.uint16)
+        low = _gathered((words & 0xFFFF).astype(np.uint16), first[row], seen)
+        high = _gathered((words >> 16).astype(np.uint16), first[row], before)
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
         cut = np.append(begin, len(part))
         at_low, at_high = (np.append(0, np.cumsum(x))[cut] for x in (seen, before))
@@ -279,8 +286,8 @@ def _tiles(posted: DataFrame, threshold: float, parts: int) -> DataFrame:
         same = token[order[1:]] == token[order[:-1]]
         order = order[np.append(same, False) | np.append(False, same)] if len(order) > 1 else order[:0]
         order = order[np.lexsort((size[order], token[order]))]
-        low = low[np.repeat((np.cumsum(seen) - seen)[order], seen[order]) + _inside(seen[order])]
-        high = high[np.repeat((np.cumsum(before) - before)[order], before[order]) + _inside(before[order])]
+        low = _gathered(low, (np.cumsum(seen) - seen)[order], seen[order])
+        high = _gathered(high, (np.cumsum(before) - before)[order], before[order])
         token, number, size, pos = token[order], number[order], size[order], pos[order]
         n = len(token)
         lines = _Lines(size, pos, low, high, threshold)
@@ -330,7 +337,7 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
         lines = _Lines(size, pos, *halves, threshold)
         out, j = [], 1
         while j < n:
-            stop = j + max(1, _PAIRS // 8 // n)
+            stop = j + max(1, _PAIRS // 2 // n)
             y = np.repeat(np.arange(j, min(stop, n)), np.arange(j, min(stop, n)))
             x = np.arange(len(y)) - np.searchsorted(y, y)
             ok = lines.allow(x, y)
@@ -397,7 +404,7 @@ def repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     records = _records(docs, level, bucket_bits, threshold)
     at = F.rank().over(Window.partitionBy("k1", "k2", F.when(F.col("gone"), F.xxhash64("doc", "th", "line"))).orderBy("doc", "th", "line"))
     ranked = written(records.withColumn("n", F.when(F.col("gone"), 2).otherwise(at)).select("doc", "th", "line", "size", F.when(F.col("n") == 1, F.col("prefix")).alias("prefix"), F.monotonically_increasing_id().alias("number")), "lines")
-    some = ranked.where("size(prefix) > 0")
+    some = ranked.where("octet_length(prefix) > 0")
     postings = some.agg(F.sum(F.col("size") - F.ceil(threshold * F.col("size") - _EPS) + 1)).first()[0] or 0
     parts = max(1, math.ceil(postings / _PART))
     needed = written(_tiles(_post(some, threshold, parts), threshold, parts).join(some.select("number", "doc", "th", "line"), "number").select("token", "doc", "th", "line"), "needed")
