@@ -159,7 +159,7 @@ def test_classes_that_share_their_smallest_id(spark):
 
 
 def test_low_thresholds_lose_no_pair(spark):
-    """At 0.4 the bitmaps of two bands may differ by a factor of four."""
+    """At 0.4 the bitmaps of two bands may differ by a factor of four; unfolded ones kept this pair too."""
     words = [f"a{i}" for i in range(702)]
     texts = [" ".join(words[:502]), " ".join(words)]
     want = brute(texts, 0.4)
