@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tracemill.llm import _text, linededup
 
@@ -108,3 +109,11 @@ def test_posting_and_pairing_take_bounded_memory():
 def test_gathered_runs():
     first, count = np.array([5, 0, 7, 2]), np.array([2, 0, 1, 3])
     assert linededup._gathered(np.arange(10), first, count).tolist() == [5, 6, 7, 2, 3, 4]
+
+
+def test_only_wanted_lines_are_split_into_tokens():
+    col = pa.array(["", "a b\nc d e\n\nf", None, "g h\ni", "j k l"])
+    [(text, line, t)] = linededup._wanted_tokens(col.slice(1), pa.array([[], [3, 0], [], [1], []], pa.list_(pa.int32())).slice(1))
+    assert (text.tolist(), line.tolist()) == ([0, 0, 2], [3, 0, 1])
+    want = [h for x in (b"f", b"a b", b"i") for h in _text.tokens(np.frombuffer(x, np.uint8), np.array([0, len(x)])).hash.tolist()]
+    assert t.hash.tolist() == want and np.diff(t.first).tolist() == [1, 2, 1]

@@ -54,7 +54,7 @@ _CELLS = 1 << 24
 def ngram_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, hashes, cuts) for texts one after the other: each one's sorted distinct n-gram hashes, of its tokens in lower case without ASCII punctuation."""
     data, offsets = _text.buffers(col)
-    for lo, hi in _text.chunks(offsets):
+    for lo, hi in _text.chunks(offsets, _text.CACHED_BYTES):
         t = _text.tokens(*_text.fold(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
         row, h = _text.shingles(t, n)
         cut = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()

@@ -47,12 +47,25 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _line_tokens(col: pa.Array) -> Iterator[tuple[int, np.ndarray, _text.Tokens]]:
     data, offsets = _text.buffers(col)
-    for lo, hi in _text.chunks(offsets):
+    for lo, hi in _text.chunks(offsets, _text.CACHED_BYTES):
         part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         cut, first = _lines(part, off)
         yield lo, first, _text.tokens(*_text.fold(part, cut))
 
 
+def _wanted_tokens(col: pa.Array, wanted: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, _text.Tokens]]:
+    """(text, line, tokens) of those lines of each text that are in wanted; the other lines aren't split into tokens."""
+    data, offsets = _text.buffers(col)
+    for lo, hi in _text.chunks(offsets, _text.CACHED_BYTES):
+        part, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        cut, first = _lines(part, off)
+        some = wanted.slice(lo, hi - lo)
+        text, line = np.repeat(np.arange(hi - lo), some.value_lengths().to_numpy()), some.flatten().to_numpy()
+        begin, end = cut[first[text] + line], cut[first[text] + line + 1]
+        taken = b"".join([part[a:z].tobytes() for a, z in zip(begin.tolist(), end.tolist())])
+        yield text + lo, line, _text.tokens(*_text.fold(np.frombuffer(taken, np.uint8), np.append(0, np.cumsum(end - begin))))
+
+
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -379,15 +392,12 @@ def _line_sets(docs: DataFrame, level, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            th, wanted = b.column(2).to_numpy(), b.column(3)
-            for lo, first, t in _line_tokens(b.column(1)):
+            th = b.column(2).to_numpy()
+            for text, line, t in _wanted_tokens(b.column(1), b.column(3)):
                 h, _, cut = _distinct(t, level.value, bits)
-                part = wanted.slice(lo, len(first) - 1)
-                text = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
-                line = part.flatten().to_numpy()
                 low = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :6]
-                arr = [low[cut[x] : cut[x + 1]].tobytes() for x in first[text] + line]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(th[text + lo]), pa.array(line), pa.array(arr, pa.binary())], names=["doc", "th", "line", "arr"])
+                arr = [low[x:z].tobytes() for x, z in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array(th[text]), pa.array(line), pa.array(arr, pa.binary())], names=["doc", "th", "line", "arr"])
 
     return docs.mapInArrow(run, f"{_LINE.format('')}, arr binary")
 
