@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def _any(words: str) -> str:
     """A regular expression for any of the words in a string; ~ stands for white space."""
     return "(?:" + "|".join(w.replace("~", r"\s+") for w in sorted(words.split(), key=lambda w: (-len(w), w))) + ")"
@@ -31,15 +32,20 @@ _SUFFIX = _any(SUFFIXES)
 B_LOCATION = r"[A-Za-z0-9_./-]+\." + _SUFFIX
 B_PATH = r"(?:^|[\s\"'`(])((?:\.{0,2}/)?[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+|[A-Za-z0-9_.-]+\." + _any(SUFFIXES + " json toml yaml yml") + ")"
 COUNTED = r"(?U)\w+|[^\w\s]"
+A_WORD = r"(?U)[A-Za-z_][A-Za-z0-9_]*|\d+"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 STOPWORDS = sorted("cd the and are for not sed cat bash code file from have into that this with your output".split())
 REASONS = {"error": B_ERROR, "trace-frame": B_FRAME, "diff": B_DIFF, "structure": B_STRUCTURE, "source-location": B_LOCATION, "test-failure": B_TEST}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row, also where body names it often or within a lambda (there a plain column is worked out anew for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """The lines as an array: ten terminators and CRLF end a line, and a last empty one doesn't count. Null for a null."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def extract(text: Column, pattern: str, group: int = 0) -> Column:
@@ -57,7 +63,8 @@ def identifiers(text: Column) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    return F.filter(tokenize(text), lambda x: x.rlike(r"(?U)\w"))
+    """tokenize() without the punctuation marks."""
+    return F.transform(extract(text, A_WORD), F.lower)
 
 
 def terms(text: Column) -> Column:

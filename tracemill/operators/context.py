@@ -38,15 +38,23 @@ def view_switches(views: DataFrame, *by: str, order: str) -> DataFrame:
 
 def text_views(df: DataFrame, *id_cols: str, text_col: str = "text") -> DataFrame:
     """(ids, level, view, tokens): reference, skeleton, focused and full views; a compact one has to be shorter than the text."""
-    lines = T.split_lines(F.col(text_col))
-    n = F.size(lines)
-    skeleton = F.filter(lines, lambda x, i: (i == 0) | (i == n - 1))
-    focused = F.filter(lines, lambda x, i: (i == 0) | (i == n - 1) | (i % 2 == 0))
-    levels = [(0, F.concat(F.lit("<observation of "), n.cast("string"), F.lit(" lines>"))), (1, F.array_join(skeleton, "\n")), (2, F.array_join(focused, "\n")), (3, F.col(text_col))]
-    x = df.select(*id_cols, F.length(text_col).alias("_n"), F.explode(F.array(*(F.struct(F.lit(k).alias("level"), v.alias("view")) for k, v in levels))).alias("v"))
+
+    def levels(lines: Column) -> Column:
+        n = F.size(lines)
+        skeleton = F.when(n > 2, F.array(F.get(lines, F.lit(0)), F.get(lines, n - 1))).otherwise(lines)
+        focused = F.filter(lines, lambda x, i: (i % 2 == 0) | (i == n - 1))
+        each = [F.concat(F.lit("<observation of "), n.cast("string"), F.lit(" lines>")), F.array_join(skeleton, "\n"), F.array_join(focused, "\n"), F.col(text_col)]
+        return F.array(*(F.struct(F.lit(k).alias("level"), v.alias("view")) for k, v in enumerate(each)))
+
+    x = df.select(*id_cols, F.length(text_col).alias("_n"), F.explode(T.let(T.split_lines(F.col(text_col)), levels)).alias("v"))
     return x.where((F.col("v.level") == 3) | (F.length("v.view") < F.col("_n"))).select(*id_cols, "v.level", "v.view", T.token_estimate_max(F.col("v.view")).alias("tokens"))
 
 
+def full_views(df: DataFrame, *id_cols: str, text_col: str = "text") -> DataFrame:
+    """(ids, level, view, tokens): the full views of text_views() only, without making the others."""
+    return df.select(*id_cols, F.lit(3).alias("level"), F.col(text_col).alias("view"), T.token_estimate_max(F.col(text_col)).alias("tokens"))
+
+
 def minimum_views(views: DataFrame, *id_cols: str) -> DataFrame:
     """The view of the fewest tokens of each observation; the lower level on ties."""
     return views.groupBy(*id_cols).agg(F.min_by("level", F.struct("tokens", "level")).alias("level"), F.min("tokens").alias("tokens"))
