@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemill import runtime_queries
 from tracemill.functions import text as T
-from tracemill.operators import context
+from tracemill.operators import context, selection
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -39,3 +39,10 @@ def test_words_are_the_tokens_with_word_characters(spark):
     old = F.filter(T.tokenize(F.col("t")), lambda x: x.rlike(r"(?U)\w"))
     a, b = df.select(T.word_tokens(F.col("t")), old).first()
     assert a == b and a[:3] == ["ab_1", "12", "x"]
+
+
+def test_seeds_within_their_window(spark):
+    rows = [(1, i, 9, s, False, i in (3, 8), 4) for i, s in enumerate([9.0, 0.1, 0.0, 0.3, 8.0, 7.0, 0.2, 0.0, 0.1], 1)]
+    df = spark.createDataFrame(rows, "id int, line_no int, n_lines int, score double, mandatory boolean, seed boolean, target int")
+    kept = lambda x, **k: sorted(r.line_no for r in selection.select_lines(x, "id", **k).collect())
+    assert kept(df) == [2, 4, 7, 9] and kept(df, window=2) == [1, 4, 5, 6] and kept(df.drop("seed")) == [1, 4, 5, 6]

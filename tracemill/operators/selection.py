@@ -35,14 +35,18 @@ def expand(df: DataFrame, *id_cols: str, radius: int | Column, by: str = "line_n
 
 
 def select_lines(scored: DataFrame, *id_cols: str, window: int = 1) -> DataFrame:
-    """The kept rows of lines (ids, line_no, n_lines, score, mandatory, seed, target).
+    """The kept rows of lines (ids, line_no, n_lines, score, mandatory, seed, target); without the column seed there are no seeds.
 
     Mandatory lines come first, then lines within `window` of a seed by score and
     distance, then the others by score; ties go to the earlier line.  Scores are
     compared to nine decimals.
     """
-    near = expand(scored.where("seed"), *id_cols, radius=window)
-    x = scored.join(near, [*id_cols, "line_no"], "left")
+    if "seed" in scored.columns:
+        by, at = Window.partitionBy(*id_cols).orderBy("line_no"), F.when(F.col("seed"), F.col("line_no"))
+        before, after = F.max(at).over(by.rangeBetween(-window, 0)), F.min(at).over(by.rangeBetween(0, window))
+        x = scored.withColumn("distance", F.least(F.col("line_no") - before, after - F.col("line_no")))
+    else:
+        x = scored.withColumn("distance", F.lit(None).cast("int"))
     tier = F.when(F.col("mandatory"), 0).when(F.col("distance").isNotNull(), 1).otherwise(2)
     order = Window.partitionBy(*id_cols).orderBy(tier, F.round("score", 9).desc(), F.when(tier == 1, F.col("distance")).otherwise(0), "line_no")
     return x.withColumn("_r", F.row_number().over(order)).where("_r <= target").drop("_r", "distance")
