@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from tracemill import runtime_queries
+from tracemill import queries, runtime_queries
 from tracemill.functions import text as T
-from tracemill.operators import context, selection
+from tracemill.operators import context, lines, ranking, selection
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -41,6 +41,27 @@ def test_words_are_the_tokens_with_word_characters(spark):
     assert a == b and a[:3] == ["ab_1", "12", "x"]
 
 
+def exchanges(df) -> int:
+    return len(re.findall(r"Exchange hashpartitioning\(", df._jdf.queryExecution().sparkPlan().toString())) + len(re.findall(r"Exchange hashpartitioning\(doc_id", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_lines_are_scored_within_the_row(spark):
+    # nine exchanges of lines or tokens before, for what is within one row; the others share the step
+    for name, most in (("bm25_lines", 0), ("select_lines", 1), ("select_with_seeds", 1), ("render_skeleton", 1), ("rank_percentiles", 1), ("nucleus", 1), ("rrf_lines", 1), ("neighbour_bonus", 1), ("replay_metrics", 2), ("replay_summary", 2)):
+        assert exchanges(queries.QUERIES[name](spark, SMALL)) <= most, name
+
+
+def test_bm25_within_the_row_is_bm25(spark):
+    texts = ["Alpha beta\nbeta, beta gamma\n\nalpha — omega 12", "none of them", "\n\n", "", None, "alpha\r\nalpha beta\x0bbeta"]
+    asked = [["alpha", "beta", "beta", "12", "zeta"], ["alpha"], ["x"], ["x"], ["x"], None]
+    df = spark.createDataFrame(list(zip(range(6), texts, asked)), "i int, text string, asked array<string>")
+    got = {(r.i, r.line_no): (r.n_lines, r.line, r.score) for r in ranking.bm25_lines(df, "i", query="asked").collect()}
+    x = lines.split_lines(df, "i").withColumn("tokens", T.word_tokens(F.col("line")))
+    want = {(r.i, r.line_no): r.bm25 for r in ranking.bm25(x, df.select("i", F.col("asked").alias("tokens")), "i", "line_no").collect()}
+    assert {k: v[2] for k, v in got.items()} == want and any(want.values())
+    assert got[0, 3][:2] == (4, "") and got[5, 3] == (3, "beta", 0.0)
+
+
 def test_seeds_within_their_window(spark):
     rows = [(1, i, 9, s, False, i in (3, 8), 4) for i, s in enumerate([9.0, 0.1, 0.0, 0.3, 8.0, 7.0, 0.2, 0.0, 0.1], 1)]
     df = spark.createDataFrame(rows, "id int, line_no int, n_lines int, score double, mandatory boolean, seed boolean, target int")

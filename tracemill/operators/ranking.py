@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -26,6 +26,55 @@ def bm25(documents: DataFrame, queries: DataFrame, group: str, doc: str, *, k1:
     return documents.select(group, doc).join(scores, [group, doc], "left").select(group, doc, F.round(F.coalesce("bm25", F.lit(0.0)), 9).alias("bm25"))
 
 
+def bm25_scores(tokens: Column, query: Column, *, k1: float = 1.2, b: float = 0.75) -> Column:
+    """bm25() as an array, of documents given as an array of token arrays, for a query's tokens; 0 for all if the query is null."""
+    none = F.array().cast("array<string>")
+
+    def scores(query: Column, terms: Column, found: Column, sizes: Column) -> Column:
+        # found: each document's query terms by their positions in terms, repeats included
+        n = F.size(sizes)
+        avgdl = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0))
+
+        def weights(each: Column) -> Column:
+            def weight(term: Column, i: Column) -> Column:
+                df = F.size(F.filter(each, lambda x: x == i + 1))
+                return F.struct(T.let(df, lambda k: F.log(1 + (n - k + 0.5) / (k + 0.5))).alias("idf"), F.size(F.filter(query, lambda x: x == term)).alias("qtf"))
+
+            return F.transform(terms, weight)
+
+        def one(avgdl: Column, w: Column) -> Column:
+            def score(f: Column, k: Column) -> Column:
+                def part(i: Column) -> Column:
+                    of, tf = F.get(w, (i - 1).cast("int")), F.size(F.filter(f, lambda x: x == i))
+                    return T.let(tf, lambda tf: of["idf"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.get(sizes, k) / F.nullif(avgdl, F.lit(0.0)))) * of["qtf"])
+
+                return F.aggregate(F.array_distinct(f), F.lit(0.0), lambda a, i: a + part(i))
+
+            return F.transform(found, score)
+
+        return T.let(avgdl, lambda a: T.let(T.let(F.flatten(F.transform(found, F.array_distinct)), weights), lambda w: one(a, w)))
+
+    def of(query: Column, terms: Column) -> Column:
+        at = lambda line: F.filter(F.transform(line, lambda t: F.array_position(terms, t)), lambda i: i > 0)
+        return T.let(F.transform(tokens, at), lambda found: T.let(F.transform(tokens, lambda x: F.size(x)), lambda sizes: scores(query, terms, found, sizes)))
+
+    return T.let(F.coalesce(query, none), lambda q: T.let(F.array_distinct(q), lambda terms: of(q, terms)))
+
+
+def bm25_lines(df: DataFrame, *id_cols: str, query: str, text_col: str = "text") -> DataFrame:
+    """(ids, line_no, n_lines, line, score): BM25 of each text's lines among the lines of that text, for the tokens in `query`.
+
+    All of it is told within the row, so nothing is shuffled.
+    """
+
+    def rows(lines: Column, tokens: Column) -> Column:
+        scores = bm25_scores(tokens, F.col(query))
+        return T.let(scores, lambda s: F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.round(F.get(s, i), 9).alias("score"), F.size(lines).cast("bigint").alias("n_lines"))))
+
+    each = T.let(T.split_lines(F.col(text_col)), lambda lines: T.let(F.transform(lines, T.word_tokens), lambda tokens: rows(lines, tokens)))
+    return df.select(*id_cols, F.posexplode(each).alias("p", "v")).select(*id_cols, (F.col("p") + 1).alias("line_no"), "v.n_lines", "v.line", "v.score")
+
+
 def document_frequency(documents: DataFrame, group: str, doc: str) -> DataFrame:
     """(group, term, df)."""
     return documents.select(group, doc, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(group, "term").agg(F.count_distinct(doc).alias("df"))

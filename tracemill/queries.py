@@ -62,14 +62,14 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines with their BM25 score for one benchmark text each."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     n = bench.count()
-    intent = docs.select("doc_id", (F.col("doc_id") % n).alias("item_id")).join(bench.select("item_id", T.word_tokens(F.col("text")).alias("tokens")), "item_id").select("doc_id", "tokens")
-    x = doc_lines(spark, sf_dir).withColumn("tokens", T.word_tokens(F.col("line")))
-    return x.drop("tokens").join(ranking.bm25(x, intent, "doc_id", "line_no"), ["doc_id", "line_no"]).withColumnRenamed("bm25", "score")
+    asked = bench.groupBy("item_id").agg(F.flatten(F.collect_list(T.word_tokens(F.col("text")))).alias("asked"))
+    x = docs.select("doc_id", "text", (F.col("doc_id") % n).alias("item_id")).join(asked, "item_id", "left")
+    return ranking.bm25_lines(x, "doc_id", query="asked")
 
 
 def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = selection.target_lines(F.col("n_lines"), F.lit(0.5), no_prune_below=0)
-    x = scored_lines(spark, sf_dir).withColumns({"target": target, "mandatory": F.lit(False), "seed": F.lit(False)})
+    x = scored_lines(spark, sf_dir).withColumns({"target": target, "mandatory": F.lit(False)})
     return selection.select_lines(x, "doc_id")
 
 
