@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +14,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 OUT = "task_id string, prompt_index bigint, observation_id string, stage string, tier string, level bigint, switched boolean"
 NAMES = [x.split()[0] for x in OUT.split(", ")]
+ARROW = [{"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in OUT.split(", ")]
+#: Rows of a batch that is handed on.
+ROWS = 10_000
 
 
 def fresh() -> dict:
@@ -61,15 +65,31 @@ def apply(task: str, state: dict, event: dict, hot: int = 2) -> list[tuple]:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """The prompts' rows of events (task_id, event_index, type, observation_id), task by task in their order."""
+    """The prompts' rows of events (task_id, event_index, type, observation_id), task by task in their order.
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        state, out = fresh(), []
-        for e in part.sort_values("event_index").to_dict("records"):
-            out += apply(key[0], state, e)
-        return pd.DataFrame(out, columns=NAMES)
+    Tasks come sorted, many in a batch and a long one over many, so that there
+    is no call for each and only a task's state is held.
+    """
 
-    return events.select("task_id", "event_index", "type", "observation_id").groupBy("task_id").applyInPandas(run, OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, state, out = None, None, []
+        for batch in batches:
+            for now, kind, i in zip(*(batch.column(c).to_pylist() for c in ("task_id", "type", "observation_id")), strict=True):
+                if state is None or now != task:
+                    task, state = now, fresh()
+                out += apply(now, state, {"type": kind, "observation_id": i})
+                if len(out) >= ROWS:
+                    yield told(out)
+                    out = []
+        yield told(out)
+
+    x = events.select("task_id", "event_index", "type", "observation_id")
+    return x.repartition("task_id").sortWithinPartitions("task_id", F.asc_nulls_last("event_index")).mapInArrow(run, OUT)
+
+
+def told(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW, strict=True)], names=NAMES)
 
 
 class _Replayer(StatefulProcessor):
