@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tracemill import queries, runtime_queries
 from tracemill.functions import text as T
-from tracemill.operators import context, lines, ranking, selection
+from tracemill.operators import codecs, context, lines, ranking, selection
+from tracemill.streaming import replay
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,7 +47,7 @@ def exchanges(df) -> int:
 
 
 def test_lines_are_scored_within_the_row(spark):
-    # nine exchanges of lines or tokens before, for what is within one row; the others share the step
+    # four to eight exchanges of lines or tokens before, for what is within one row; the others share the step
     for name, most in (("bm25_lines", 0), ("select_lines", 1), ("select_with_seeds", 1), ("render_skeleton", 1), ("rank_percentiles", 1), ("nucleus", 1), ("rrf_lines", 1), ("neighbour_bonus", 1), ("replay_metrics", 2), ("replay_summary", 2)):
         assert exchanges(queries.QUERIES[name](spark, SMALL)) <= most, name
 
@@ -67,3 +68,39 @@ def test_seeds_within_their_window(spark):
     df = spark.createDataFrame(rows, "id int, line_no int, n_lines int, score double, mandatory boolean, seed boolean, target int")
     kept = lambda x, **k: sorted(r.line_no for r in selection.select_lines(x, "id", **k).collect())
     assert kept(df) == [2, 4, 7, 9] and kept(df, window=2) == [1, 4, 5, 6] and kept(df.drop("seed")) == [1, 4, 5, 6]
+
+
+def test_views_are_made_within_the_row(spark):
+    # nineteen exchanges before
+    assert exchanges(runtime_queries.typed_views(spark, SMALL)) == 0
+
+
+def test_typed_views_of_signals(spark):
+    text = "x = 1\ny\ndef f(a):\n  alpha\n" + "".join(f"line {i} {'y' * 60}\n" for i in range(40)) + "error: bad\nalpha beta\ntail"
+    rows = [(1, "source", text), (2, "diff", text), (3, "generic", None), (4, "tree", ""), (5, "generic", text)]
+    df = spark.createDataFrame(rows, "i int, kind string, text string")
+    signals = [(1, "alpha", 1.0), (1, "alpha", 0.5), (1, "line", 9.0), (1, "the", 4.0), (5, "nowhere", 1.0)]
+    got = {(r.i, r.level): r for r in codecs.typed_views(df, spark.createDataFrame(signals, "i int, term string, weight double"), "i").collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 3), (3, 3), (4, 3), (5, 0), (5, 1), (5, 3)}
+    head = '<context_view observation_id="1" level="{}" codec="source_structure">\nThis is a reversible view of an older tool observation. Matched signals: alpha.\n</context_view>\n'
+    assert got[1, 1].content == head.format("skeleton") + "x = 1\ny\ndef f(a):\n... [context omitted lines 4-44] ...\nerror: bad\nalpha beta\ntail"
+    lines_ = text.split("\n")
+    assert got[1, 2].content == head.format("focused") + "\n".join([*lines_[:35], "... [context omitted lines 36-44] ...", *lines_[44:]])
+    assert (got[1, 1].relevance, got[1, 2].relevance, got[1, 3].relevance) == (1.5, 3.0, 0.0) and got[3, 3].content == ""
+    column = df.where("i = 1").withColumn("s", F.expr("array(named_struct('term', 'alpha', 'weight', 1.5D), named_struct('term', 'line', 'weight', 9D), named_struct('term', 'the', 'weight', 4D))"))
+    assert sorted(map(str, codecs.typed_views(column, "s", "i").collect())) == sorted(str(r) for k, r in got.items() if k[0] == 1)
+
+
+def test_replay_is_one_pass_over_sorted_tasks(spark, monkeypatch):
+    monkeypatch.setattr(replay, "ROWS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        turns = [(t, 5 - k, ["observation", "prompt", "action", "observation", "prompt"][4 - k]) for t in ("a", "b", None) for k in range(5)]
+        df = spark.createDataFrame([(t, k, kind, None) for t, k, kind in turns], "task_id string, event_index long, type string, observation_id string")
+        x = replay.replay(df)
+        assert "MapInArrow" in plan(x) and "FlatMapGroups" not in plan(x)
+        one = [(0, "obs-0001", "CAPTURED", "HOT", 3, False), (1, "obs-0001", "ENRICHED", "HOT", 3, False), (1, "obs-0002", "CAPTURED", "HOT", 3, False)]
+        assert sorted(map(tuple, x.collect()), key=repr) == sorted(((t, *r) for t in ("a", "b", None) for r in one), key=repr)
+        assert replay.replay(df.where("type = 'action' AND task_id = 'none'")).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

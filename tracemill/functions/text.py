@@ -67,10 +67,13 @@ def word_tokens(text: Column) -> Column:
     return F.transform(extract(text, A_WORD), F.lower)
 
 
+def is_term(word: Column) -> Column:
+    return (F.length(word) > 1) & ~word.isin(STOPWORDS) & ~word.rlike(r"^\d+$")
+
+
 def terms(text: Column) -> Column:
     """Lower-case words of more than one character that are neither numbers nor stop words; repeats stay."""
-    words = F.transform(extract(text, B_WORD), F.lower)
-    return F.filter(words, lambda x: (F.length(x) > 1) & ~x.isin(STOPWORDS) & ~x.rlike(r"^\d+$"))
+    return F.filter(F.transform(extract(text, B_WORD), F.lower), is_term)
 
 
 def term_set(text: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .selection import render_omissions
 
+_VIEWS = "array<struct<level:int,content:string,relevance:double>>"
 
 class Codec(NamedTuple):
     """How one kind is cut: lines of `special` reasons are units, those of `mandatory` ones stay; a match keeps `radius` units around."""
@@ -43,72 +43,103 @@ def _of(field: str, kind: str = "kind") -> Column:
     return out
 
 
-def units(lines: DataFrame, *id_cols: str, max_lines: int = 16) -> DataFrame:
-    """(ids, kind, unit, n_units, start_line, end_line, text, reasons, mandatory) of lines (ids, kind, line_no, line); the first and the last unit are mandatory."""
-    by = Window.partitionBy(*id_cols).orderBy("line_no")
-    x = lines.withColumn("reasons", T.line_reasons(F.col("line")))
-    x = x.withColumn("special", _of("one_line") | F.arrays_overlap("reasons", _of("special")))
-    x = x.withColumn("island", F.sum(F.col("special").cast("int")).over(by))
-    within = Window.partitionBy(*id_cols, "island", "special").orderBy("line_no")
-    x = x.withColumn("piece", F.floor((F.row_number().over(within) - 1) / max_lines))
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "line", "reasons")))
-    u = x.groupBy(*id_cols, "kind", "island", "special", "piece").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), rows.alias("rows"))
-    order, all_ = Window.partitionBy(*id_cols).orderBy("start_line"), Window.partitionBy(*id_cols)
-    u = u.withColumns({"unit": F.row_number().over(order) - 1, "n_units": F.count("*").over(all_), "text": F.array_join(F.col("rows")["line"], "\n"), "reasons": F.array_distinct(F.flatten(F.col("rows")["reasons"]))})
-    ends = (F.col("unit") == 0) | (F.col("unit") == F.col("n_units") - 1)
-    return u.select(*id_cols, "kind", "unit", "n_units", "start_line", "end_line", "text", "reasons", (F.arrays_overlap("reasons", _of("mandatory")) | ends).alias("mandatory"))
+def unit_ranges(special: Column, max_lines: int = 16) -> Column:
+    """Units as structs (s, e) of their first and last line, from 0: each special line (array of booleans, one a line) is one, the others are cut into pieces of at most max_lines."""
+    n, ints = F.size(special), F.array().cast("array<int>")
+    at = F.filter(F.transform(special, lambda x, i: F.when(x, i)), lambda x: x.isNotNull())
 
+    def cut(at: Column) -> Column:
+        def starts(p: Column, k: Column) -> Column:
+            after = F.coalesce(F.get(at, k), n)
+            return F.concat(F.when(p >= 0, F.array(p)).otherwise(ints), F.when(p + 1 < after, F.sequence(p + 1, after - 1, F.lit(max_lines))).otherwise(ints))
 
-def rare_matches(x: DataFrame, signals: DataFrame, *id_cols: str, max_df_ratio: float | None = 0.1) -> DataFrame:
-    """(ids, unit, score, terms): summed weights of the signals' terms (ids, term, weight) in each unit that has any.
+        return F.flatten(F.transform(F.concat(F.array(F.lit(-1)), at), starts))
+
+    ends = lambda starts: F.transform(starts, lambda s, k: F.struct(s.alias("s"), (F.coalesce(F.get(starts, k + 1), n) - 1).alias("e")))
+    return T.let(T.let(at, cut), ends)
+
+
+def _sum(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+
+def rare_terms(found: Column, signals: Column, *, max_df_ratio: float | None = 0.1) -> Column:
+    """The signals (structs of term and weight, a term once) whose term is in some unit, of units' terms `found` (an array each).
 
     A term in more than max(2, ceil(units * max_df_ratio)) units doesn't count;
     without a ratio all do.
     """
-    each = x.select(*id_cols, "unit", "n_units", F.explode(T.term_set(F.col("text"))).alias("term"))
-    each = each.withColumn("df", F.count("*").over(Window.partitionBy(*id_cols, "term")))
-    if max_df_ratio is not None:
-        each = each.where(F.col("df") <= F.greatest(F.lit(2), F.ceil(F.col("n_units") * F.lit(max_df_ratio))))
-    weights = signals.groupBy(*id_cols, "term").agg(F.sum("weight").alias("weight"))
-    return each.join(weights, [*id_cols, "term"]).groupBy(*id_cols, "unit").agg(F.sum("weight").alias("score"), F.collect_set("term").alias("terms"))
+    most = F.size(found) if max_df_ratio is None else F.greatest(F.lit(2), F.ceil(F.size(found) * F.lit(max_df_ratio)))
+    df = lambda all_, t: F.size(F.filter(all_, lambda x: x == t["term"]))
+    return T.let(F.flatten(found), lambda all_: F.filter(signals, lambda t: df(all_, t).between(1, most)))
+
+
+def shown(lines: Column, units: Column, keep: Column, *, label: str = "context") -> Column:
+    """The lines of units (s, e) that are kept (array of booleans, the first and the last unit are), what is left out told as render_omissions() does."""
+
+    def body(kept: Column) -> Column:
+        def one(u: Column, j: Column) -> Column:
+            first, last = u["e"] + 2, F.get(kept, j + 1)["s"]
+            what = F.when(first == last, F.concat(F.lit("line "), first.cast("string"))).otherwise(F.concat(F.lit("lines "), first.cast("string"), F.lit("-"), last.cast("string")))
+            gap = F.when(first <= last, F.array(F.concat(F.lit(f"... [{label} omitted "), what, F.lit("] ...")))).otherwise(F.array().cast("array<string>"))
+            return F.concat(F.slice(lines, u["s"] + 1, u["e"] - u["s"] + 1), gap)
+
+        return F.array_join(F.flatten(F.transform(kept, one)), "\n")
+
+    return T.let(F.filter(units, lambda u, k: F.get(keep, k)), body)
 
 
-def typed_views(df: DataFrame, signals: DataFrame, id_col: str, *, text_col: str = "text", max_lines: int = 16, max_chars: int | None = None, tag: str = "context_view") -> DataFrame:
+def typed_views(df: DataFrame, signals: DataFrame | str, id_col: str, *, text_col: str = "text", max_lines: int = 16, max_chars: int | None = None, tag: str = "context_view") -> DataFrame:
     """(id, level, codec, content, tokens, relevance): the views of observations (id, kind, text) that a prompt may hold.
 
     Level 0 is a reference, 1 the mandatory units, 2 these and what the signals
     (id, term, weight) match with its neighbours, 3 the whole text.  A view that
     isn't shorter than the text, or longer than max_chars, is left out; texts of
-    a kind that isn't compacted, and empty ones, have level 3 only.
+    a kind that isn't compacted, and empty ones, have level 3 only.  Signals may
+    also be a column of df with structs of term and weight, a term once; all is
+    told within the row then, and nothing is shuffled.
     """
-    base = df.select(id_col, "kind", F.coalesce(text_col, F.lit("")).alias("text"))
-    lines = base.select(id_col, "kind", F.posexplode(T.split_lines(F.col("text"))).alias("p", "line")).select(id_col, "kind", (F.col("p") + 1).alias("line_no"), "line")
-    u = units(lines, id_col, max_lines=max_lines).where(_of("compacts"))
-    m = rare_matches(u, signals, id_col)
-    x = u.join(m, [id_col, "unit"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    hit = (F.col("score") > 0).cast("int")
-    order = Window.partitionBy(id_col).orderBy("unit")
-    near = lambda r: F.max(hit).over(order.rowsBetween(-r, r)) == 1
-    radius = _of("radius")
-    x = x.withColumns({"near": F.when(radius == 0, near(0)).when(radius == 1, near(1)).otherwise(near(2)), "any_hit": F.max(hit).over(Window.partitionBy(id_col)) == 1})
-    kept = x.select(id_col, "unit", "start_line", "end_line", "score", "any_hit", F.explode(F.array(F.struct(F.lit(1).alias("level"), F.col("mandatory").alias("keep")), F.struct(F.lit(2).alias("level"), (F.col("mandatory") | F.col("near")).alias("keep")))).alias("v"))
-    kept = kept.where("v.level = 1 OR any_hit").select(id_col, "start_line", "end_line", F.col("v.level").alias("level"), F.col("v.keep").alias("keep"), "score")
-    relevance = kept.groupBy(id_col, "level").agg(F.sum(F.when(F.col("keep"), F.col("score")).otherwise(0.0)).alias("relevance"))
-    flags = kept.select(id_col, "level", "keep", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    bodies = render_omissions(flags.join(lines.select(id_col, "line_no", "line"), [id_col, "line_no"]), id_col, "level", label="context")
-    terms = m.groupBy(id_col).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))), 1, 12).alias("terms"))
-    about = base.select(id_col, "kind", _of("name").alias("codec"), "text", F.coalesce(F.size(T.split_lines(F.col("text"))), F.lit(0)).alias("n"))
-    told = F.when(F.size("terms") > 0, F.concat(F.lit(" Matched signals: "), F.array_join("terms", ", "), F.lit("."))).otherwise("")
-    level = F.when(F.col("level") == 1, "skeleton").otherwise("focused")
-    key = F.col(id_col).cast("string")
-    head = F.concat(F.lit(f'<{tag} observation_id="'), key, F.lit('" level="'), level, F.lit('" codec="'), F.col("codec"), F.lit('">\nThis is a reversible view of an older tool observation.'), told, F.lit(f"\n</{tag}>\n"))
-    compact = bodies.join(relevance, [id_col, "level"]).join(about.drop("text"), id_col).join(terms, id_col, "left").select(id_col, "level", "codec", F.concat(head, F.col("body")).alias("content"), "relevance")
-    reference = F.concat(F.lit('<observation_reference id="'), key, F.lit('" kind="'), F.col("kind"), F.lit('">\nOlder tool output archived with '), F.col("n").cast("string"), F.lit(" visible lines. Use memory.search or memory.read with observation id "), key, F.lit(" to inspect it.\n</observation_reference>"))
-    none = F.lit(0.0)
-    least = about.where(_of("compacts") & (F.col("n") > 0)).select(id_col, F.lit(0).alias("level"), "codec", reference.alias("content"), none.alias("relevance"))
-    full = about.select(id_col, F.lit(3).alias("level"), "codec", F.col("text").alias("content"), none.alias("relevance"))
-    some = compact.union(least).join(about.select(id_col, F.length("text").alias("_n")), id_col).where(F.length("content") < F.col("_n")).drop("_n")
-    if max_chars is not None:
-        some = some.where(F.length("content") <= max_chars)
-    out = some.union(full)
-    return out.select(id_col, "level", "codec", "content", T.token_estimate_max(F.col("content")).alias("tokens"), "relevance")
+    if isinstance(signals, DataFrame):
+        each = signals.groupBy(id_col, "term").agg(F.sum("weight").cast("double").alias("weight")).groupBy(id_col).agg(F.collect_list(F.struct("term", "weight")).alias("_signals"))
+        df, signals = df.join(each, id_col, "left"), "_signals"
+    key, codec, kind = F.col(id_col).cast("string"), _of("name"), F.col("kind")
+    text, none = F.coalesce(text_col, F.lit("")), F.lit(0.0)
+    view = lambda level, content, relevance=none: F.struct(F.lit(level).alias("level"), content.alias("content"), relevance.alias("relevance"))
+    counts = F.filter(F.coalesce(signals, F.array().cast("array<struct<term:string,weight:double>>")), lambda t: T.is_term(t["term"]))
+
+    def compact(lines: Column, reasons: Column, units: Column, found: Column, rare: Column) -> Column:
+        n = F.size(units)
+        told = F.when(F.size(rare) > 0, F.concat(F.lit(" Matched signals: "), F.array_join(F.slice(F.array_sort(rare["term"]), 1, 12), ", "), F.lit("."))).otherwise("")
+        head = lambda level: F.concat(F.lit(f'<{tag} observation_id="'), key, F.lit(f'" level="{level}" codec="'), codec, F.lit('">\nThis is a reversible view of an older tool observation.'), told, F.lit(f"\n</{tag}>\n"))
+        scores = F.transform(found, lambda f: _sum(F.filter(rare, lambda t: F.array_contains(f, t["term"]))["weight"]))
+        stays = F.transform(units, lambda u, k: (k == 0) | (k == n - 1) | F.arrays_overlap(F.flatten(F.slice(reasons, u["s"] + 1, u["e"] - u["s"] + 1)), _of("mandatory")))
+        radius = _of("radius")
+
+        def made(level: int, name: str, keep: Column, scores: Column) -> Column:
+            return T.let(keep, lambda keep: view(level, F.concat(head(name), shown(lines, units, keep)), _sum(F.filter(scores, lambda x, k: F.get(keep, k)))))
+
+        def levels(scores: Column, stays: Column) -> Column:
+            near = lambda k: F.exists(F.slice(scores, F.greatest(F.lit(1), k + 1 - radius), F.least(k, radius) + radius + 1), lambda x: x > 0)
+            focused = F.when(F.exists(scores, lambda x: x > 0), made(2, "focused", F.transform(stays, lambda x, k: x | near(k)), scores))
+            return F.array(made(1, "skeleton", stays, scores), focused)
+
+        return T.let(scores, lambda scores: T.let(stays, lambda stays: levels(scores, stays)))
+
+    def terms_of(lines: Column, units: Column, signals: Column) -> Column:
+        of = lambda u: F.transform(T.extract(F.array_join(F.slice(lines, u["s"] + 1, u["e"] - u["s"] + 1), "\n"), T.B_WORD), F.lower)
+        return T.let(signals["term"], lambda terms: F.transform(units, lambda u: F.array_intersect(terms, of(u))))
+
+    def views(lines: Column, reasons: Column, signals: Column) -> Column:
+        special = F.transform(reasons, lambda r: _of("one_line") | F.arrays_overlap(r, _of("special")))
+        compacts = lambda units: T.let(terms_of(lines, units, signals), lambda found: T.let(rare_terms(found, signals), lambda rare: compact(lines, reasons, units, found, rare)))
+        reference = F.concat(F.lit('<observation_reference id="'), key, F.lit('" kind="'), kind, F.lit('">\nOlder tool output archived with '), F.size(lines).cast("string"), F.lit(" visible lines. Use memory.search or memory.read with observation id "), key, F.lit(" to inspect it.\n</observation_reference>"))
+        return F.concat(F.array(view(0, reference)), T.let(unit_ranges(special, max_lines), compacts))
+
+    def all_views(text: Column) -> Column:
+        fits = lambda v: (F.length(v["content"]) < F.length(text)) & (F.lit(True) if max_chars is None else F.length(v["content"]) <= max_chars)
+        some = lambda lines: F.when(_of("compacts") & (F.size(lines) > 0), T.let(F.transform(lines, T.line_reasons), lambda r: T.let(counts, lambda s: F.filter(views(lines, r, s), fits))))
+        return T.let(T.let(T.split_lines(text), some), lambda v: F.concat(F.coalesce(v, F.array().cast(_VIEWS)), F.array(view(3, text))))
+
+    x = df.select(id_col, codec.alias("codec"), F.explode(T.let(text, all_views)).alias("v"))
+    x = x.select(id_col, "v.level", "codec", "v.content", "v.relevance")
+    return x.select(id_col, "level", "codec", "content", T.token_estimate_max(F.col("content")).alias("tokens"), "relevance")
